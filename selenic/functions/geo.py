@@ -30,7 +30,8 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     half_lat = F.radians(lat2 - lat1) / 2
     half_lon = F.radians(F.pmod(lon2 - lon1, F.lit(360.0))) / 2
     a = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), 2)
-    return F.lit(2 * RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # not least(): it would turn a missing coordinate into the largest distance
+    return F.lit(2 * RADIUS_KM) * F.asin(F.when(a >= 1.0, 1.0).otherwise(F.sqrt(a)))
 
 
 def corners(ul_lat, ul_lon, ur_lat, ur_lon, ll_lat, ll_lon, lr_lat, lr_lon) -> Column:
@@ -90,7 +91,7 @@ def pixel_window(fx: Column, fy: Column, lines: Column, samples: Column, extent_
     c0 = F.greatest(F.lit(0.0), px - half).cast("int")
     c1 = F.least(samples.cast("double"), px + half).cast("int")
     return F.when(
-        (lines > 0) & (samples > 0) & (r1 - r0 >= 2) & (c1 - c0 >= 2),
+        fx.isNotNull() & fy.isNotNull() & (lines > 0) & (samples > 0) & (r1 - r0 >= 2) & (c1 - c0 >= 2),
         F.struct(r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1")),
     )
 
@@ -159,7 +160,7 @@ def lambert_slope(z: Column, median: Column, p01: Column, sun: Column, max_slope
     limit = math.tan(math.radians(max_slope_deg))
     raw = (z - scale * sz) / (scale * (sx * sx + sy * sy))
     t = F.greatest(F.lit(-limit), F.least(F.lit(limit), raw))
-    t = F.when(z < F.greatest(F.lit(3.0), p01), 0.0).otherwise(t if legacy else -t)
+    t = F.when(z < F.greatest(F.lit(3.0), p01), 0.0).when(z.isNotNull(), t if legacy else -t)
     return F.struct((sx * t).alias("p"), (sy * t).alias("q"))
 
 
@@ -167,7 +168,7 @@ def shade(p: Column, q: Column, sun: Column, albedo: Column) -> Column:
     """Lommel-Seeliger radiance for slopes (p, q), viewed from above, before scaling."""
     norm = F.sqrt(p * p + q * q + 1.0) + F.lit(1e-8)
     dot = (-p * sun["east"] - q * sun["south"] + sun["up"]) / norm
-    cos_i = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot))
+    cos_i = F.when(dot.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)))
     return albedo * cos_i / (cos_i + F.lit(1.0 + 1e-8))
 
 
@@ -196,7 +197,8 @@ def blend_score(km: Column, ncc: Column) -> Column:
 
 def stretch_u8(z: Column, lo: Column, hi: Column) -> Column:
     """Percentile stretch to 0..255 (truncated)."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), (z - lo) / (hi - lo + F.lit(1e-9)) * 255.0)).cast("int")
+    dn = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (z - lo) / (hi - lo + F.lit(1e-9)) * 255.0)).cast("int")
+    return F.when(z.isNotNull(), dn)
 
 
 def stretch_gain(z: Column, lo: Column, hi: Column, max_gain: float = 1.7) -> Column:

@@ -22,7 +22,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-MODULES = ("scalars", "relations")
+MODULES = ("scalars", "relations", "cells", "matching")
 
 
 def query(name: str, oracle: str | None = None):
