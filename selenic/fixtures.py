@@ -176,9 +176,15 @@ class Inputs:
         """Adapter-level SQL for a test input shared with the oracle."""
         return self.spark.sql(self._expand(text))
 
-    def _expand(self, sql: str) -> str:
+    def streamed(self, name: str, table: str) -> DataFrame:
+        """An adapter over a file stream of one table."""
+        stream = (self.spark.readStream.schema(self.table(table).schema)
+                  .option("pathGlobFilter", f"{table}.parquet").parquet(self.dir))
+        return self.spark.sql(self._expand(FX[name], {table: "{stream}"}), stream=stream)
+
+    def _expand(self, sql: str, swap: dict[str, str] | None = None) -> str:
         texts = {**FX, **FX_SPARK}
-        sql = _REF.sub(lambda m: "(" + self._expand(texts[m.group(1)]) + ") fx_" + m.group(1), sql)
+        sql = _REF.sub(lambda m: "(" + self._expand(texts[m.group(1)], swap) + ") fx_" + m.group(1), sql)
         for t in TABLES:
-            sql = sql.replace("{" + t + "}", f"parquet.`{self.dir}/{t}.parquet`")
+            sql = sql.replace("{" + t + "}", (swap or {}).get(t, f"parquet.`{self.dir}/{t}.parquet`"))
         return sql

@@ -69,8 +69,8 @@ def footprint_center(fp: Column, circular: bool = False) -> Column:
 
 def crop_center(fp: Column, lines: Column, samples: Column, r0: Column, c0: Column, size: Column) -> Column:
     """Centre of a crop: bilinear over the corners, else the product centre."""
-    fx = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c0 + size / 2.0) / samples))
-    fy = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (r0 + size / 2.0) / lines))
+    fx = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(c0 + size / 2.0, samples)))
+    fy = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(r0 + size / 2.0, lines)))
 
     def interp(key):
         top = fp["upper_left"][key] * (1 - fx) + fp["upper_right"][key] * fx
@@ -84,7 +84,7 @@ def crop_center(fp: Column, lines: Column, samples: Column, r0: Column, c0: Colu
 
 def pixel_window(fx: Column, fy: Column, lines: Column, samples: Column, extent_m: Column, gsd_m: Column) -> Column:
     """Window (r0, c0, r1, c1) around a footprint position; NULL if thinner than 2 px."""
-    half = F.greatest(F.lit(2.0), extent_m / 2.0 / gsd_m)
+    half = F.greatest(F.lit(2.0), F.try_divide(extent_m / 2.0, gsd_m))
     px, py = fx * (samples - 1), fy * (lines - 1)
     r0 = F.greatest(F.lit(0.0), py - half).cast("int")
     r1 = F.least(lines.cast("double"), py + half).cast("int")
@@ -158,7 +158,7 @@ def lambert_slope(z: Column, median: Column, p01: Column, sun: Column, max_slope
     sx, sy, sz = sun["east"], sun["south"], sun["up"]
     scale = median / F.greatest(sz, F.lit(1e-6))
     limit = math.tan(math.radians(max_slope_deg))
-    raw = (z - scale * sz) / (scale * (sx * sx + sy * sy))
+    raw = F.try_divide(z - scale * sz, scale * (sx * sx + sy * sy))
     t = F.greatest(F.lit(-limit), F.least(F.lit(limit), raw))
     t = F.when(z < F.greatest(F.lit(3.0), p01), 0.0).when(z.isNotNull(), t if legacy else -t)
     return F.struct((sx * t).alias("p"), (sy * t).alias("q"))
@@ -181,7 +181,7 @@ def ransac_budget(w: Column, confidence: float = 0.99, sample: int = 4) -> Colum
 def project(h: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
     """A point through a row-major 3x3 homography."""
     w = h[6] * x + h[7] * y + h[8]
-    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
+    return F.try_divide(h[0] * x + h[1] * y + h[2], w), F.try_divide(h[3] * x + h[4] * y + h[5], w)
 
 
 def residual(h: list[Column], sx: Column, sy: Column, rx: Column, ry: Column) -> Column:
@@ -203,4 +203,4 @@ def stretch_u8(z: Column, lo: Column, hi: Column) -> Column:
 
 def stretch_gain(z: Column, lo: Column, hi: Column, max_gain: float = 1.7) -> Column:
     """Gain-capped stretch, before its mean is moved to 128."""
-    return (z - lo) * F.least(F.lit(255.0) / (hi - lo), F.lit(max_gain))
+    return (z - lo) * F.least(F.try_divide(F.lit(255.0), hi - lo), F.lit(max_gain))

@@ -81,7 +81,7 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def l2_normalise(a: Column) -> Column:

@@ -71,7 +71,7 @@ def window_valid(sat: DataFrame, windows: DataFrame) -> DataFrame:
     count = hits.groupBy("window_id").agg(F.sum(c("sign") * c("valid")).alias("_n"))
     area = (c("r1") - c("r0")) * (c("c1") - c("c0"))
     return (windows.join(count, "window_id", "left")
-            .withColumn("valid_fraction", F.coalesce("_n", lit(0)) / area).drop("_n"))
+            .withColumn("valid_fraction", F.try_divide(F.coalesce("_n", lit(0)), area)).drop("_n"))
 
 
 def nearest_valid_window(sat: DataFrame, requests: DataFrame, steps: int = 12, step_m: float = 500.0) -> DataFrame:
@@ -333,7 +333,7 @@ def contours(cells: DataFrame, levels: DataFrame) -> DataFrame:
     edges = []
     for i in range(4):
         (x1, y1), (x2, y2), z1, z2 = at[i], at[(i + 1) % 4], h[i], h[(i + 1) % 4]
-        t = z1 / (z1 - z2)
+        t = F.try_divide(z1, z1 - z2)
         point = F.struct((c("col") + x1 + t * (x2 - x1)).alias("x"), (c("row") + y1 + t * (y2 - y1)).alias("y"))
         edges.append(F.when((z1 < 0) != (z2 < 0), point))
     pts = quad.withColumn("_p", F.filter(F.array(*edges), lambda p: p.isNotNull())).where(F.size("_p") >= 2)

@@ -38,7 +38,8 @@ def _block_pairs(src: DataFrame, ref: DataFrame, size: int):
         df = df.join(blocks, "pair_id")
         df = df.withColumn(f"_{own}", F.pmod(F.xxhash64(f"{own}_id"), c(f"_n{own}")).cast("int"))
         df = df.withColumn(f"_{other}", F.explode(F.sequence(lit(0), c(f"_n{other}") - 1)))
-        return df.select("pair_id", c("_src").alias("_src"), c("_ref").alias("_ref"), f"{own}_id", "vec")
+        # fresh column identities: both sides may come from one table
+        return df.select(*[c(x).alias(x) for x in ("pair_id", "_src", "_ref", f"{own}_id", "vec")])
     keys = ["pair_id", "_src", "_ref"]
     return spread(s, "src", "ref").groupBy(*keys), spread(t, "ref", "src").groupBy(*keys)
 
@@ -133,7 +134,7 @@ def sample_hypotheses(corr: DataFrame, buckets: int = 64, rounds: int = 4) -> Da
     sample = four.groupBy("pair_id", "_seed", "_bucket").agg(F.sort_array(F.collect_list(
         F.struct("rank", "sx", "sy", "rx", "ry"))).alias("_p")).where(F.size("_p") == 4)
     sample = sample.select("pair_id", (c("_seed") * buckets + c("_bucket")).alias("hyp_id"),
-                           *[F.transform("_p", lambda s, k=k: s[k]).alias(k) for k in ("sx", "sy", "rx", "ry")])
+                           *[c(f"_p.{k}").alias(k) for k in ("sx", "sy", "rx", "ry")])
     return sample.mapInPandas(_solve_samples, f"pair_id {corr.schema['pair_id'].dataType.simpleString()}, hyp_id int, {H_SCHEMA}")
 
 

@@ -134,9 +134,9 @@ BLOCKS = f"""SELECT raster_id, row, col, z - min(z) OVER (PARTITION BY raster_id
   FROM {{fx:heights}} h JOIN ({DIMS}) d ON h.raster_id = d.raster_id GROUP BY 1, 2, 3) g"""
 
 
-@query("agg_04_block_average", f"SELECT raster_id, row, col, round(z, 4) AS z FROM ({BLOCKS}) b")
+@query("agg_04_block_average", f"SELECT raster_id, row, col, round(z, 9) AS z FROM ({BLOCKS}) b")
 def _(inp):
-    return ops.block_average(ops.frames(inp.fx("heights")), 16).withColumn("z", r("z", 4))
+    return ops.block_average(ops.frames(inp.fx("heights")), 16).withColumn("z", r("z", 9))
 
 
 @query("agg_05_best_variance_window", f"""
@@ -414,10 +414,10 @@ def _(inp):
 
 
 @query("til_05_upsample_linear", f"""
-SELECT t.raster_id, out_row AS row, out_col AS col, round(sum(w * z) / sum(w), 4) AS z FROM ({_taps_sql(96)}) t JOIN {{fx:heights}} h
-ON h.raster_id = t.raster_id AND h.row = t.row AND h.col = t.col WHERE z IS NOT NULL AND w > 0 GROUP BY 1, 2, 3""")
+SELECT t.raster_id, out_row AS row, out_col AS col, round(sum(w * z2) / sum(w), 6) + 0.0 AS z FROM ({_taps_sql(96)}) t JOIN {{fx:heights}} h
+ON h.raster_id = t.raster_id AND h.row = t.row AND h.col = t.col WHERE w > 0 GROUP BY 1, 2, 3""")
 def _(inp):
-    return ops.upsample_linear(inp.fx("heights"), 96).withColumn("z", r("z", 4))
+    return ops.upsample_linear(inp.fx("heights").select(*KEY, c("z2").alias("z")), 96).withColumn("z", r("z"))
 
 
 @query("til_05_upsample_cubic")

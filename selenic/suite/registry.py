@@ -22,7 +22,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-MODULES = ("scalars", "relations", "cells", "matching")
+MODULES = ("scalars", "relations", "cells", "matching", "logs", "files", "jobs")
 
 
 def query(name: str, oracle: str | None = None):
