@@ -414,10 +414,10 @@ def _(inp):
 
 
 @query("til_05_upsample_linear", f"""
-SELECT t.raster_id, out_row AS row, out_col AS col, round(sum(w * z2) / sum(w), 6) + 0.0 AS z FROM ({_taps_sql(96)}) t JOIN {{fx:heights}} h
+SELECT t.raster_id, out_row AS row, out_col AS col, round(sum(w * sin(z2)) / sum(w), 6) + 0.0 AS z FROM ({_taps_sql(96)}) t JOIN {{fx:heights}} h
 ON h.raster_id = t.raster_id AND h.row = t.row AND h.col = t.col WHERE w > 0 GROUP BY 1, 2, 3""")
 def _(inp):
-    return ops.upsample_linear(inp.fx("heights").select(*KEY, c("z2").alias("z")), 96).withColumn("z", r("z"))
+    return ops.upsample_linear(inp.fx("heights").select(*KEY, F.sin("z2").alias("z")), 96).withColumn("z", r("z"))
 
 
 @query("til_05_upsample_cubic")

@@ -10,7 +10,6 @@ from selenic.session import workdir
 from selenic.sources import labels, rasters, tables
 from selenic.streaming import streams
 from selenic.suite.registry import query, r
-from selenic.suite.scalars import HAV  # noqa: F401
 
 c, lit = F.col, F.lit
 
@@ -194,7 +193,7 @@ def _(inp):
 @query("snk_05_cap_payload", """
 SELECT vec_id, label % 2 = 0 AS cached_trimmed, CAST(CASE WHEN label % 2 = 0 THEN 50 ELSE 64 END AS INT) AS n_kept, 50 AS n_stored FROM {embeddings}""")
 def _(inp):
-    e = inp.table("embeddings").select("vec_id", "embedding", F.when(c("label") % 2 == 0, F.repeat(lit("x"), 900000)).otherwise("").alias("pad"))
-    cached = tables.cap_payload(e, ["embedding"], 50, 900000).select("vec_id", "cached_trimmed", F.size("embedding").alias("n_kept"))
+    e = inp.table("embeddings").select("vec_id", "embedding", F.when(c("label") % 2 == 0, F.repeat(lit("x"), 3000)).otherwise("").alias("pad"))
+    cached = tables.cap_payload(e, ["embedding"], 50, 3000).select("vec_id", "cached_trimmed", F.size("embedding").alias("n_kept"))
     stored = tables.cap_payload(e.drop("pad"), ["embedding"], 50).select("vec_id", F.size("embedding").alias("n_stored"))
     return cached.join(stored, "vec_id")
