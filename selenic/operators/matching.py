@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from selenic.functions import geo, predicates
 from selenic.operators.logs import top_k
+from selenic.session import materialise
 
 c, lit = F.col, F.lit
 
@@ -193,7 +194,7 @@ def refit(inliers: DataFrame, scale: float = 1024.0) -> DataFrame:
 def homography_vote(corr: DataFrame, buckets: int = 64, rounds: int = 4, px: float = INLIER_PX) -> DataFrame:
     """Verified correspondences: the best sampled homography per pair, refitted on its
     inliers, with residual and inlier flag for every candidate."""
-    hyps = sample_hypotheses(corr, buckets, rounds)
+    hyps = materialise(sample_hypotheses(corr, buckets, rounds), "hypotheses")
     votes = score_homographies(corr, hyps, px)
     best = votes.groupBy("pair_id").agg(F.max_by("hyp_id", F.struct("inliers", (-c("hyp_id")).alias("k"))).alias("hyp_id"))
     model = hyps.join(best, ["pair_id", "hyp_id"]).select("pair_id", *H)
@@ -201,7 +202,7 @@ def homography_vote(corr: DataFrame, buckets: int = 64, rounds: int = 4, px: flo
     def judged(m, size):
         res = geo.residual([c(h) for h in H], c("sx"), c("sy"), c("rx"), c("ry"))
         return corr.join(m, "pair_id", "left").withColumn("residual", res).withColumn("inlier", F.coalesce(c("residual") < size, lit(False)))
-    fitted = refit(judged(model, px).where("inlier").drop(*H))
+    fitted = refit(judged(materialise(model, "models"), px).where("inlier").drop(*H))
     return judged(fitted, px)
 
 

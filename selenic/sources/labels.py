@@ -35,10 +35,10 @@ def parse_labels(raw: DataFrame, block: str | None = None) -> DataFrame:
     """
     xml = c("xml")
     scope = xml if block is None else F.regexp_extract(xml, f"(?s)<isda:{block}>(.*?)</isda:{block}>", 1)
+    raw_pts = {f"_{name}_{k}": _number(f"<isda:{name}_{k}itude[^>]*>{NUMBER}", scope) for name in geo.CORNERS for k in ("lat", "long")}
     pts = {}
     for name in geo.CORNERS:
-        lat = _number(f"<isda:{name}_latitude[^>]*>{NUMBER}", scope)
-        lon = _number(f"<isda:{name}_longitude[^>]*>{NUMBER}", scope)
+        lat, lon = c(f"_{name}_lat"), c(f"_{name}_long")
         both = lat.isNotNull() & lon.isNotNull()
         pts[name] = F.struct(F.when(both, lat).alias("lat_deg"), F.when(both, lon).alias("lon_deg"))
 
@@ -53,7 +53,7 @@ def parse_labels(raw: DataFrame, block: str | None = None) -> DataFrame:
     code = F.coalesce(_first("<data_type[^>]*>([^<]+)", xml), lit("UnsignedByte"))
     dtype = F.create_map(*[lit(x) for kv in DTYPES.items() for x in kv])
     df = raw.withColumn("product_id", text.strip_extension(text.basename(c("path"))))
-    df = df.withColumn("footprint", F.struct(*[pts[n].alias(n) for n in geo.CORNERS]))
+    df = df.withColumns(raw_pts).withColumn("footprint", F.struct(*[pts[n].alias(n) for n in geo.CORNERS]))
     df = df.withColumns({
         "center": geo.footprint_center(c("footprint")),
         "sun_azimuth_deg": _number(f"<isda:sun_azimuth[^>]*>{NUMBER}", xml),
@@ -64,9 +64,10 @@ def parse_labels(raw: DataFrame, block: str | None = None) -> DataFrame:
         "dtype": F.try_element_at(dtype, code), "offset": F.coalesce(F.try_element_at(offsets, lit(-1)).cast("long"), lit(0).cast("long")),
         "missing": _number("<missing_constant[^>]*>([^<]+)", xml), "scaling": _number("<scaling_factor[^>]*>([^<]+)", xml)})
     df = df.withColumn("start_time", text.parse_time(c("start_text")))
-    empty = (c("lines") == 0) & c("center").isNull()
+    # told from the text alone: a filter on the error is pushed to the scan side
+    empty = ~F.coalesce(xml, lit("")).rlike("<axis_name>Line<|<lines>|<isda:(upper|lower)_(left|right)_latitude")
     return df.withColumn("error", F.when(xml.isNull() | ~F.coalesce(xml, lit("")).contains("<"), "not a label")
-                         .when(empty, "neither raster size nor footprint")).drop("xml")
+                         .when(empty, "neither raster size nor footprint")).drop("xml", *raw_pts)
 
 
 def read_labels(spark: SparkSession, path: str, block: str | None = None) -> DataFrame:
