@@ -98,7 +98,7 @@ def containing_pairs(short: DataFrame, long: DataFrame, q: int = 8) -> DataFrame
     pieces = big.select("long", F.explode(F.flatten(F.transform(
         F.sequence(lit(1), lit(q - 1)), lambda n: F.transform(
             F.sequence(lit(1), F.greatest(lit(1), F.length("long") - n + 1)), lambda i: F.substr(c("long"), i, n))))).alias("short"))
-    return hits.unionByName(tiny.join(pieces.distinct(), "short").select("short", "long"))
+    return hits.unionByName(pieces.join(tiny, "short").select("short", "long").distinct())
 
 
 def pick_reference(scenes: DataFrame, products: DataFrame, q: int = 8) -> DataFrame:
@@ -130,3 +130,19 @@ def scene_payload(scenes: DataFrame, refs: DataFrame, craters: DataFrame) -> Dat
     ref = refs.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("kind", "rank", "product_id", "score"))).alias("references"))
     crater = craters.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cand_id", "radius_px"))).alias("craters"))
     return scenes.join(ref, "scene_id", "left").join(crater, "scene_id", "left")
+
+
+def grounding_context(docs: DataFrame, key: str, max_chars: int = 1_000_000) -> DataFrame:
+    """One context text per key: documents in name order, each under its header.
+
+    ``docs(key, name, body)``. Only groups whose total length fits are put together; a
+    larger one gets status ``too_large`` and stays available as ordered blocks.
+    """
+    from selenic.functions.text import context_block
+
+    blocks = docs.select(key, "name", context_block(c("name"), c("body")).alias("block"))
+    size = blocks.groupBy(key).agg(F.sum(F.length("block") + 2).alias("n_chars"))
+    fits = blocks.join(size.where(c("n_chars") <= max_chars).select(key), key, "left_semi")
+    text = fits.groupBy(key).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("name", "block"))), lambda d: d["block"]), "\n\n").alias("context"))
+    return size.join(text, key, "left").withColumn("status", F.when(c("context").isNull(), "too_large").otherwise("ok"))

@@ -1,7 +1,7 @@
 """Stateful event operators as Structured Streaming jobs.
 
 Each has a batch twin in ``operators.logs`` with the same result on the same events.
-Within a micro-batch, events of one key and millisecond are merged before they reach
+Within a micro-batch, events of one key and millisecond are merged before they touch
 the state, so a busy key costs its distinct milliseconds.
 """
 
@@ -30,14 +30,14 @@ def event_time(events: DataFrame, ts: str = "ts", late: str = LATENESS) -> DataF
     return events.withColumn(ts, c(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def _ordered(batches: Iterator[pd.DataFrame], ts: str) -> pd.DataFrame:
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return pd.DataFrame()
-    ms = pd.concat(frames)
-    ms["_ms"] = (ms[ts].astype("int64") // 10 ** 6 if str(ms[ts].dtype).endswith("[ns]") or "ns" in str(ms[ts].dtype)
-                 else ms[ts].astype("datetime64[ms]").astype("int64"))
-    return ms.groupby("_ms", sort=True).size()
+def _ticks(batches: Iterator[pd.DataFrame], ts: str) -> pd.Series:
+    """Events per millisecond in order. Arrow batches are reduced one by one, so memory
+    holds distinct milliseconds, not events."""
+    total = pd.Series(dtype="int64")
+    for b in batches:
+        ms = b[ts].astype("datetime64[ms]").astype("int64")
+        total = total.add(ms.value_counts(), fill_value=0)
+    return total.astype("int64").sort_index()
 
 
 def rate_limit_stream(events: DataFrame, key: str = "key", ts: str = "ts", window_ms: int = RATE_WINDOW_MS, limit: int = 10) -> DataFrame:
@@ -48,7 +48,7 @@ def rate_limit_stream(events: DataFrame, key: str = "key", ts: str = "ts", windo
     ktype = events.schema[key].dataType.simpleString()
 
     def step(k, batches, state: GroupState):
-        ticks = _ordered(batches, ts)
+        ticks = _ticks(batches, ts)
         past, cnt = state.get if state.exists else ([], [])
         live = list(zip(past, cnt))
         rows = []
@@ -68,7 +68,7 @@ def ttl_gate_stream(events: DataFrame, key: str = "key", ts: str = "ts", ttl_ms:
     ktype = events.schema[key].dataType.simpleString()
 
     def step(k, batches, state: GroupState):
-        ticks = _ordered(batches, ts)
+        ticks = _ticks(batches, ts)
         last = state.get[0] if state.exists else None
         rows = []
         for ms, n in ticks.items():

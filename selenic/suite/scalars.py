@@ -352,3 +352,13 @@ def _(inp):
     return inp.table("conversations").select("conv_id", c("turn").alias("position"),
                                              text.context_block(name, c("text")).alias("block"),
                                              text.question(c("text")).alias("question"))
+
+
+@query("fun_10_grounding_texts", """
+SELECT conv_id, md5(string_agg(concat('=== DOCUMENT: ', role, '-', CAST(turn AS VARCHAR), ' ===', chr(10), text), chr(10) || chr(10) ORDER BY concat(role, '-', CAST(turn AS VARCHAR)))) AS digest
+FROM {conversations} GROUP BY conv_id""")
+def _(inp):
+    from selenic.operators.catalog import grounding_context
+
+    docs = inp.table("conversations").select("conv_id", F.concat("role", lit("-"), "turn").alias("name"), c("text").alias("body"))
+    return grounding_context(docs, "conv_id").select("conv_id", F.md5("context").alias("digest"))
