@@ -341,12 +341,13 @@ tried AS (SELECT request_id, r0 + dr AS r0, c0 + dc AS c0, dr, dc, ord, avg(v) A
   WHERE r0 + dr >= 0 AND c0 + dc >= 0 AND r0 + dr + 4 <= lines AND c0 + dc + 4 <= 64 GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dr * dr + dc * dc, ord) AS rn FROM tried WHERE share >= 0.9) q WHERE rn = 1)
 SELECT request_id, r0, c0, r0 + 4 AS r1, c0 + 4 AS c1, 0.0::DOUBLE AS offset_km, 'exact' AS status FROM base WHERE share >= 0.5
-UNION ALL SELECT b.request_id, s.r0, s.c0, s.r0 + 4, s.c0 + 4, round(sqrt(power(dr * 500.0, 2) + power(dc * 500.0, 2)) / 1000, 6),
+UNION ALL SELECT b.request_id, coalesce(s.r0, -1), coalesce(s.c0, -1), coalesce(s.r0 + 4, -1), coalesce(s.c0 + 4, -1), round(sqrt(power(dr * 500.0, 2) + power(dc * 500.0, 2)) / 1000, 6),
   CASE WHEN s.request_id IS NULL THEN 'no_valid_data' ELSE 'moved' END FROM base b LEFT JOIN best s ON b.request_id = s.request_id WHERE b.share < 0.5""")
 def _(inp):
     sat = ops.summed_area(inp.fx("heights"), c("z") % 100 < 70)
     req = _requests(inp, 4).withColumn("gsd_m", lit(500.0))
-    return ops.nearest_valid_window(sat, req).withColumn("offset_km", r("offset_km"))
+    out = ops.nearest_valid_window(sat, req).withColumn("offset_km", r("offset_km"))
+    return out.fillna(-1, ["r0", "c0", "r1", "c1"])
 
 
 @query("srt_05_densest_window", f"""

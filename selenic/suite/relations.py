@@ -61,9 +61,8 @@ SELECT scene_id, product_id, kind, lat_deg, lon_deg, cell_m, n, lines, samples,
       SELECT *,
         CASE WHEN abs(bx + v1 * dx) >= abs(by_ + v1 * dy) THEN -(ax + v1 * cx) / (bx + v1 * dx) ELSE -(ay + v1 * cy) / (by_ + v1 * dy) END AS u1,
         CASE WHEN abs(bx + v2 * dx) >= abs(by_ + v2 * dy) THEN -(ax + v2 * cx) / (bx + v2 * dx) ELSE -(ay + v2 * cy) / (by_ + v2 * dy) END AS u2
-      FROM (SELECT *, CASE WHEN abs(q2) < 1e-12 THEN -q0 / nullif(q1, 0) ELSE (-q1 + sqrt(greatest(disc, 0))) / (2 * q2) END AS v1,
-          CASE WHEN abs(q2) >= 1e-12 THEN (-q1 - sqrt(greatest(disc, 0))) / (2 * q2) END AS v2
-        FROM (SELECT *, q1 * q1 - 4 * q2 * q0 AS disc FROM (
+      FROM (SELECT *, -2 * q0 / nullif(t, 0) AS v1, -t / nullif(2 * q2, 0) AS v2
+        FROM (SELECT *, q1 + CASE WHEN q1 >= 0 THEN 1 ELSE -1 END * sqrt(greatest(q1 * q1 - 4 * q2 * q0, 0)) AS t FROM (
           SELECT *, cx * dy - cy * dx AS q2, ax * dy - ay * dx + cx * by_ - cy * bx AS q1, ax * by_ - ay * bx AS q0 FROM (
             SELECT *, ulx AS ax, uly AS ay, urx - ulx AS bx, ury - uly AS by_, llx - ulx AS cx, lly - uly AS cy,
               ulx - urx - llx + lrx AS dx, uly - ury - lly + lry AS dy FROM (
@@ -72,14 +71,14 @@ SELECT scene_id, product_id, kind, lat_deg, lon_deg, cell_m, n, lines, samples,
                 {_rel('p.ll_lon')} AS llx, p.ll_lat - s.lat_deg AS lly, {_rel('p.lr_lon')} AS lrx, p.lr_lat - s.lat_deg AS lry
               FROM {{fx:scenes}} s CROSS JOIN {{fx:products}} p) r0
             WHERE greatest(ulx, urx, llx, lrx) - least(ulx, urx, llx, lrx) <= 180) r1) r2) r3
-        WHERE abs(q2) < 1e-12 OR disc >= 0) r4) r5) r6 WHERE in1 OR in2) r7"""
+        WHERE q1 * q1 - 4 * q2 * q0 >= 0) r4) r5) r6 WHERE in1 OR in2) r7"""
 
 
 @query("joi_02_coverage_join", f"""
-SELECT scene_id, product_id, round(fx, 5) + 0.0 AS fx, round(fy, 5) + 0.0 AS fy FROM ({COVER_SQL}) z""")
+SELECT scene_id, product_id, round(fx, 7) + 0.0 AS fx, round(fy, 7) + 0.0 AS fy FROM ({COVER_SQL}) z""")
 def _(inp):
     cov = spatial.coverage_join(inp.fx("scenes"), products_fp(inp))
-    return cov.select("scene_id", "product_id", r("fx", 5).alias("fx"), r("fy", 5).alias("fy"))
+    return cov.select("scene_id", "product_id", r("fx", 7).alias("fx"), r("fy", 7).alias("fy"))
 
 
 BOX_SQL = """SELECT scene_id AS box_id, lat_deg - 0.5 AS lat_lo, lat_deg + 0.5 AS lat_hi,
