@@ -40,7 +40,8 @@ def _(inp):
     n = inp.table("supplier").agg(F.count("*").alias("n_products"))
     b = prods.select((F.substring("product_id", 14, 6).cast("long") - 100000).alias("k"),
                      c("lat_deg").alias("plat"), c("lon_deg").alias("plon"))
-    keyed = scenes.join(n, lit(True)).withColumn("k", c("scene_id") % c("n_products"))
+    # the count is one row
+    keyed = scenes.crossJoin(F.broadcast(n)).withColumn("k", c("scene_id") % c("n_products"))
     return keyed.join(b, "k").select(
         "scene_id", r(geo.great_circle_km(c("lat_deg"), c("lon_deg"), c("plat"), c("plon")), 4).alias("km"))
 

@@ -162,3 +162,51 @@ def test_first_and_last_win(spark):
     df = spark.createDataFrame([(1, "tar", 1), (1, "dir", 3), (2, "zip", 2)], "id int, src string, prio int")
     assert sorted(r.src for r in catalog.first_wins(df, ["id"], "prio").collect()) == ["tar", "zip"]
     assert sorted(r.src for r in catalog.last_wins(df, ["id"], "prio").collect()) == ["dir", "zip"]
+
+
+def test_height_grids(spark):
+    from selenic.plans import jobs
+
+    r, q = np.meshgrid(np.arange(64), np.arange(64), indexing="ij")
+    z = (r * 5 + q * 7).astype(float)
+    hole = z.copy()
+    hole[22:40, 22:40] = np.nan                    # nothing valid in the wanted window
+    void = np.full_like(z, np.nan)
+    pdf = pd.concat([pd.DataFrame({"raster_id": i, "row": r.ravel(), "col": q.ravel(), "z": a.ravel()}) for i, a in enumerate((z, hole, void))])
+    cells = spark.createDataFrame(pdf, "raster_id long, row int, col int, z double").withColumn("z", F.when(~F.isnan("z"), c("z")))
+    rows = [(f"s{i}", "p", i, .5, .5, 64, 64, n * 500.0, 500.0) for i, n in ((0, 32), (1, 16), (2, 16))]
+    cov = spark.createDataFrame(rows, "scene_id string, product_id string, raster_id long, fx double, fy double, lines int, samples int, extent_m double, gsd_m double")
+    grid, status = jobs.height_grids(cov, cells, 16)
+    state = {x.request_id: x for x in status.collect()}
+    assert [state[f"s{i}|p"].status for i in range(3)] == ["exact", "moved", "no_valid_data"]
+    assert state["s1|p"].offset_km > 0
+    g = grid.where("request_id = 's0|p'").toPandas().sort_values(["row", "col"]).z.to_numpy().reshape(16, 16)
+    want = z[15:47, 15:47].reshape(16, 2, 16, 2).mean((1, 3))
+    assert g == pytest.approx(want - want.min())
+
+
+def test_terrain_product(spark):
+    from selenic.plans import jobs
+
+    y, x = np.mgrid[0:64, 0:64]
+    hill = 100 * np.exp(-((x - 32) ** 2 + (y - 32) ** 2) / 300.0)
+    pdf = pd.DataFrame({"raster_id": 1, "row": y.ravel(), "col": x.ravel(), "z": hill.ravel()})
+    grid, lines = jobs.terrain_product(spark.createDataFrame(pdf, "raster_id long, row int, col int, z double"), 32, keep=0.5)
+    top = grid.agg(F.min("z"), F.max("z")).first()
+    assert top[0] == 0 and 90 < top[1] < 101
+    # every level circles the summit once
+    per = {r.level_no: (r.a, r.b) for r in lines.groupBy("level_no").agg(F.avg("x1").alias("a"), F.avg("y1").alias("b")).collect()}
+    assert len(per) == 8 and all(abs(a - 15.75) < 0.5 and abs(b - 15.75) < 0.5 for a, b in per.values())
+
+
+def test_match_report(spark):
+    from selenic.plans import jobs
+
+    _, v, w, src, ref = vectors(spark)
+    src, ref = [d.withColumn("response", c("id") * 1.0) for d in (src, ref.withColumn("id", c("id") + 1000))]
+    xy = np.random.default_rng(9).uniform(0, 1000, (240, 2))
+    pts = pd.DataFrame({"id": np.r_[np.arange(240), 1000 + np.arange(240)], "x": np.r_[xy[:, 0], xy[:, 0] * 1.01 + 5], "y": np.r_[xy[:, 1], xy[:, 1] * .99 - 3]})
+    verified, report = jobs.match_report(src, ref, spark.createDataFrame(pts))
+    rows = {x.pair_id: x for x in report.collect()}
+    assert len(rows) == 7 and all(x.inlier_ratio > .8 and x.rmse_px < .1 for x in rows.values() if x.status == "ok")
+    assert verified.select("method").distinct().count() == 2 and rows[0].report.startswith("Scene 0:")
