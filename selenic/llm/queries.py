@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from selenic.llm import sharding
+from selenic.llm import pii, sharding, urls
 from selenic.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,13 @@ def query(name: str, oracle: str | None = None):
 @query("op10_ring_shards", sharding.ORACLE)
 def ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_vocabulary", urls.oracle())
+def url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
+@query("op9_weak_supervision")
+def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read_table(spark, sf_dir, "documents")))
