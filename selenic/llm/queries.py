@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from selenic.llm import pii, sharding, urls
+from selenic.llm import packing, pii, sharding, tokens, urls
 from selenic.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,13 @@ def url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_weak_supervision")
 def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read_table(spark, sf_dir, "documents")))
+
+
+@query("op4_whole_tokens")
+def whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_harmonic_packing")
+def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.harmonic_pack(packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

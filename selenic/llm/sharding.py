@@ -31,9 +31,9 @@ NODES = 100
 
 #: The ring as SQL. Dialects differ in what stands in braces.
 RING = """
-node AS (SELECT {cell:'node-' || CAST(s.i AS STRING) || '-' || CAST(v.i AS STRING)} AS cell,
-                {hash:'node-' || CAST(s.i AS STRING) || '-' || CAST(v.i AS STRING)} AS h, s.i AS shard
-         FROM {range:SHARDS} s JOIN {range:NODES} v ON v.i >= 0),
+node AS (SELECT {cell:'node-' || CAST(CAST(FLOOR(i / NODES) AS BIGINT) AS STRING) || '-' || CAST(MOD(i, NODES) AS STRING)} AS cell,
+                {hash:'node-' || CAST(CAST(FLOOR(i / NODES) AS BIGINT) AS STRING) || '-' || CAST(MOD(i, NODES) AS STRING)} AS h, CAST(FLOOR(i / NODES) AS BIGINT) AS shard
+         FROM {range:SHARDS * NODES}),
 own AS (SELECT cell, MIN_BY(shard, h) AS shard FROM node GROUP BY cell),
 ring AS (SELECT c.i AS cell,
                 COALESCE({first:o.shard} OVER (ORDER BY c.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
