@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from selenic.llm import packing, pii, sharding, tokens, urls
+from selenic.llm import langid, packing, pii, sharding, tokens, urls
 from selenic.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_harmonic_packing")
 def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op1_naive_bayes_language")
+def naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
