@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows with equal keys, from batches sorted by the keys; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_pylist() for k in keys]
+        rows = list(zip(*cols, strict=True))
+        start = 0
+        for i, k in enumerate(rows):
+            if k != last:
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, k
+        held.append(b.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index of each index's component under the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while True:
+            deeper = new[new]
+            if (deeper == new).all():
+                break
+            new = deeper
+        new = new[root]
+        if (new == root).all():
+            break
+        root = new
+    return root

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from selenic.llm import langid, packing, pii, sharding, tokens, urls
+from selenic.llm import langid, neardup, packing, pii, sharding, tokens, urls
 from selenic.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_naive_bayes_language")
 def naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_hyperplane_neardup")
+def hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
