@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from selenic.llm import langid, neardup, packing, pii, sharding, tokens, urls
+from selenic.llm import jaccard, langid, neardup, packing, pii, sharding, tokens, urls
 from selenic.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_hyperplane_neardup")
 def hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_token_group_jaccard")
+def token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
