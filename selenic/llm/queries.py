@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from selenic.llm import jaccard, langid, neardup, packing, pii, repeats, sharding, tokens, urls
+from selenic.llm import decontam, jaccard, langid, neardup, packing, pii, repeats, sharding, tokens, urls
 from selenic.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_induced_suffix_dedup")
 def induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_latent_decontamination")
+def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
