@@ -150,8 +150,8 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     return Model(languages, np.log(n / n.sum()), matrix)
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with the struct ``prediction`` (lang, score)."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "prediction") -> DataFrame:
+    """All columns of ``df`` with the struct ``out`` (lang, score)."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.matrix))
 
@@ -162,7 +162,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             best, value = score_texts(texts.tolist(), matrix, prior)
             yield pd.DataFrame({"lang": names[best], "score": value})
 
-    return df.withColumn("prediction", F.pandas_udf(score, "lang string, score double")(F.col(text_col)))
+    return df.withColumn(out, F.pandas_udf(score, "lang string, score double")(F.col(text_col)))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

@@ -19,11 +19,11 @@ text. Null texts count as empty; equal rows give equal results; an empty table n
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,6 +205,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return scanned.select(F.col("doc_id").alias(id_col), base.alias("base"), F.array_sort(F.concat(base, extra)).alias("spans"))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, each span of the text replaced by its kind in brackets; null texts stay null."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    w = train(settle(rows.mapInArrow(_scan_batches, ROW).select("found")))
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: t if t is None else redact_text(t, all_spans(t, w)))
+
+    return docs.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col)))
+
+
+def all_spans(text: str, w: list[float]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base spans and of the candidates that the weights accept."""
+    base, found = scan(text)
+    spans = [(a, k, b) for k, a, b in base]
+    spans += [(a, KINDS.index("secret"), b) for a, b, _, f in found if sum(x * y for x, y in zip(f, w, strict=True)) > 0]
+    return sorted(spans)
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -221,7 +242,3 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
             out += [text[done:start], f"[{KINDS[kind].upper()}]"]
         done = max(done, stop)
     return "".join(out) + text[done:]
-
-
-def sha_of(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
