@@ -1,22 +1,23 @@
 """Array kernels on bounded pieces of rasters, one Arrow group per piece.
 
-Stencils run on tiles with a halo, so a raster of any size is spread over tasks.
-The whole-grid kernels (spectral and iterative fills) take analysis grids, at most
-``MAX_GRID`` cells on a side; anything larger is refused rather than gathered.
+Stencils run on tiles with a halo, separable kernels on strips of lines, template search
+on tiles of both sides, so a raster of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selenic.operators.cells import ID, SWEEP, correlation, gaussian_weights
 from selenic.operators.stats import with_group
+from selenic.session import materialise
 
 c, lit = F.col, F.lit
-MAX_GRID = 1024
+#: cells of a strip of lines
+STRIP = 1 << 18
 
 
 # ------------------------------------------------------------ stencils
@@ -27,7 +28,7 @@ def stencil(cells: DataFrame, halo: int, fn, outputs: list[str], border: str = "
 
     ``fn`` gets the tile with ``halo`` extra cells on every side (NaN for nodata) and
     returns one array per output for the tile itself. At the raster border the halo is
-    a reflection, inside it holds the neighbours.
+    a reflection (nodata with ``border="nan"``), inside it holds the neighbours.
     """
     x = with_group(cells.select("raster_id", "row", "col", value), ID, _h=F.max("row") + 1, _w=F.max("col") + 1)
 
@@ -44,7 +45,7 @@ def stencil(cells: DataFrame, halo: int, fn, outputs: list[str], border: str = "
         rr, cc = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         block[rr - by0, cc - bx0] = pdf[value].to_numpy(dtype=float)
         pad = ((halo - (y0 - by0), halo - (by1 - y1)), (halo - (x0 - bx0), halo - (bx1 - x1)))
-        arrays = fn(np.pad(block, pad, mode=border))
+        arrays = fn(np.pad(block, pad, constant_values=np.nan) if border == "nan" else np.pad(block, pad, mode=border))
         own = (rr >= y0) & (rr < y1) & (cc >= x0) & (cc < x1)
         out = {"raster_id": pdf["raster_id"].to_numpy()[own], "row": rr[own], "col": cc[own]}
         for name, arr in zip(outputs, arrays):
@@ -107,91 +108,143 @@ def gradient_consistency(grid: DataFrame, floor: float = 0.02, min_cells: int =
     return out.withColumn("gradient_corr", F.when(c("n") > min_cells, c("gradient_corr")))
 
 
-# ------------------------------------------------------------ whole grids
+# ------------------------------------------------------------ strips
 
-def _dense(pdf: pd.DataFrame, value: str, fill: float | None = None) -> np.ndarray:
-    h, w = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
-    if max(h, w) > MAX_GRID:
-        raise ValueError(f"grid {h}x{w} is larger than {MAX_GRID}: block-average it first")
-    a = np.full((h, w), np.nan)
-    a[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf[value].to_numpy(dtype=float)
-    return a if fill is None else np.where(np.isfinite(a), a, fill)
-
-
-def _bounded(cells: DataFrame) -> DataFrame:
-    """Fail on the first oversized cell, before its group is gathered."""
-    # fresh column identities, so that two pieces of one table can be grouped together
-    cells = cells.select(*[c(x).alias(x) for x in cells.columns])
-    small = (c("row") < MAX_GRID) & (c("col") < MAX_GRID)
-    return cells.withColumn("row", F.when(small, c("row")).otherwise(F.raise_error(lit("grid larger than the analysis grid"))).cast("int"))
+def along(cells: DataFrame, axis: str, fn, inputs: list[str], outputs: list[str], keep: list[str] = ID, strip: int = STRIP) -> DataFrame:
+    """Apply ``fn(arrays, first, size) -> arrays`` to whole lines of every raster.
 
+    ``axis`` is ``row`` or ``col``: the lines run along it, so separable work takes one pass
+    for each axis. A group is a strip of adjacent lines of about ``strip`` cells (one line at
+    least), whatever the raster's size. Arrays are (lines, length) with NaN for NULL and
+    absent cells; ``first`` is the strip's first line, ``size`` the raster's (lines, samples).
+    The lines that come back may have another length; ``_h`` and ``_w`` carry the new size
+    on to the next pass.
+    """
+    other = "row" if axis == "col" else "col"
+    if "_h" in cells.columns:  # an earlier pass has told the size
+        x = cells.select(*keep, "row", "col", "_h", "_w", *inputs)
+    else:
+        x = with_group(cells.select(*keep, "row", "col", *inputs), keep, _h=F.max("row") + 1, _w=F.max("col") + 1)
+    length = c("_w") if axis == "col" else c("_h")
+    x = x.withColumn("_n", F.greatest(lit(1), F.floor(lit(strip) / length)).cast("int")).withColumn("_s", F.floor(c(other) / c("_n")).cast("int"))
 
-def per_grid(cells: DataFrame, fn, outputs: list[str]) -> DataFrame:
-    """``fn(group frame) -> arrays``, written back to the cells of the group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {k: pdf[k] for k in ("raster_id", "row", "col")}
-        for name, arr in zip(outputs, fn(pdf)):
-            out[name] = arr[pdf["row"].to_numpy(), pdf["col"].to_numpy()]
-        return pd.DataFrame(out)
-    ident = cells.schema["raster_id"].dataType.simpleString()
-    schema = f"raster_id {ident}, row int, col int, " + ", ".join(f"{n} double" for n in outputs)
-    return _bounded(cells).groupBy("raster_id").applyInPandas(run, schema)
-
-
-def inpaint(cells: DataFrame, rounds: int = 400) -> DataFrame:
-    """Fill NULL cells with the mean of their valid 4-neighbours, round by round; 0 if unreachable."""
-    def fn(pdf):
-        a = _dense(pdf, "z")
-        for _ in range(rounds):
-            hole = np.isnan(a)
-            if not hole.any():
-                break
-            p = np.pad(a, 1, mode="edge")
-            near = np.stack([p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
-            ok = np.isfinite(near)
-            n = ok.sum(axis=0)
-            fill = hole & (n > 0)
-            if not fill.any():
-                break
-            a = np.where(fill, np.where(ok, near, 0.0).sum(axis=0) / np.maximum(n, 1), a)
-        return [np.nan_to_num(a)]
-    return per_grid(cells, fn, ["z"])
+        h, w, n, k = (int(pdf[v].iat[0]) for v in ("_h", "_w", "_n", "_s"))
+        size, first = (w, h) if axis == "col" else (h, w), k * n
+        count = min(n, size[1] - first)
+        line, at = pdf[other].to_numpy() - first, pdf[axis].to_numpy()
+        blocks = []
+        for v in inputs:
+            blocks.append(np.full((count, size[0]), np.nan))
+            blocks[-1][line, at] = pdf[v].to_numpy(dtype=float)
+        arrays = fn(blocks, first, (h, w))
+        i, j = np.indices(arrays[0].shape)
+        out = {v: pdf[v].iat[0] for v in keep} | {other: i.ravel() + first, axis: j.ravel()}
+        out |= {"_h": h, "_w": arrays[0].shape[1]} if axis == "col" else {"_h": arrays[0].shape[1], "_w": w}
+        return pd.DataFrame(out | {v: b.ravel() for v, b in zip(outputs, arrays, strict=True)})[[*keep, "row", "col", "_h", "_w", *outputs]]
+
+    ident = ", ".join(f"{v} {cells.schema[v].dataType.simpleString()}" for v in keep)
+    return x.groupBy(*keep, "_s").applyInPandas(run, f"{ident}, row int, col int, _h int, _w int, " + ", ".join(f"{v} double" for v in outputs))
 
 
 def fourier_lowpass(cells: DataFrame, keep: float = 0.15) -> DataFrame:
-    """Truncated Fourier series: low rows and columns of the spectrum on both ends."""
-    def fn(pdf):
-        a = _dense(pdf, "z", 0.0)
-        mask = []
-        for n in a.shape:
-            m, low = max(4, int(n * keep) // 2), np.zeros(n, bool)
-            low[:m] = low[max(0, n - m):] = True
-            mask.append(low)
-        return [np.real(np.fft.ifft2(np.fft.fft2(a) * np.outer(*mask)))]
-    return per_grid(cells, fn, ["z"])
+    """Truncated Fourier series: low rows and columns of the spectrum on both ends.
+
+    One pass along each axis; NULL cells count as 0 and the raster's own cells come back.
+    """
+    def low(block: np.ndarray) -> np.ndarray:
+        n = block.shape[1]
+        m = max(4, int(n * keep) // 2)
+        high = np.arange(n)
+        spectrum = np.fft.fft(block, axis=1)
+        spectrum[:, (high >= m) & (high < n - m)] = 0
+        return np.fft.ifft(spectrum, axis=1)
+
+    def first(blocks, *_):
+        z = low(np.nan_to_num(blocks[0]))
+        return [z.real, z.imag]
+
+    half = along(cells, "col", first, ["z"], ["re", "im"])
+    full = along(half, "row", lambda b, *_: [low(b[0] + 1j * b[1]).real], ["re", "im"], ["z"]).drop("_h", "_w")
+    return full.join(cells.select("raster_id", "row", "col"), ["raster_id", "row", "col"], "left_semi")
 
 
 def poisson_integrate(slopes: DataFrame, cell_m: float = 1.0, rms_slope_deg: float = 8.0, legacy: bool = False) -> DataFrame:
-    """Heights whose slopes are (p, q) in the least-squares sense: FFT solve with a Hann
-    window, zero mean, scaled to the stated RMS slope.
+    """Heights whose slopes are (p, q) in the least-squares sense, of zero mean and the stated RMS slope.
 
-    p is the slope along columns and q along rows. ``legacy=True`` differentiates the
-    two along the other axis, as the older products did.
+    p is the slope along columns and q along rows; ``legacy=True`` differentiates the two
+    along the other axis, as the older products did. Slopes are tapered by a Hann window.
+    The periodic equation is diagonal in frequencies, and the transforms are separable: the
+    divergence and the transform down the columns, the division between two transforms
+    along the rows, the transform back, each a pass over strips of lines.
+    """
+    across, down = ("q", "p") if legacy else ("p", "q")
+
+    def taper(block, first, n_other):
+        return np.nan_to_num(block) * np.hanning(n_other)[first:first + len(block), None] * np.hanning(block.shape[1])
+
+    def rows(blocks, first, size):
+        return [np.gradient(taper(blocks[0], first, size[0]), axis=1)]
+
+    def columns(blocks, first, size):
+        spectrum = np.fft.fft(np.nan_to_num(blocks[0]) + np.gradient(taper(blocks[1], first, size[1]), axis=1), axis=1)
+        return [spectrum.real, spectrum.imag]
+
+    def divide(blocks, first, size):
+        w2 = [(2 * np.pi * np.fft.fftfreq(n)) ** 2 for n in size]
+        total = w2[0][first:first + len(blocks[0]), None] + w2[1]
+        spectrum = np.fft.fft(blocks[0] + 1j * blocks[1], axis=1)
+        out = np.fft.ifft(np.divide(-spectrum, total, out=np.zeros_like(spectrum), where=total > 0), axis=1)
+        return [out.real, out.imag]
+
+    def back(blocks, *_):
+        z = np.fft.ifft(blocks[0] + 1j * blocks[1], axis=1).real
+        return [z, np.gradient(z / cell_m, axis=1) ** 2]
+
+    key = [*ID, "row", "col"]
+    part = along(slopes, "col", rows, [across], ["g"]).join(slopes.select(*key, c(down).alias("s")), key, "left")
+    z = along(along(part, "row", columns, ["g", "s"], ["re", "im"]), "col", divide, ["re", "im"], ["re", "im"])
+    z = along(z, "row", back, ["re", "im"], ["z", "gy"])
+    z = along(z, "col", lambda b, *_: [b[0], b[1] + np.gradient(b[0] / cell_m, axis=1) ** 2], ["z", "gy"], ["z", "g"])
+    z = materialise(z.drop("_h", "_w"), "poisson")  # read twice below
+    # the zero frequency was left out, so the mean is zero already but for rounding
+    z = with_group(z, ID, _m=F.avg("z"), _g=F.avg("g"))
+    z = z.select(*key, ((c("z") - c("_m")) * np.tan(np.radians(rms_slope_deg)) / F.greatest(F.sqrt("_g"), lit(1e-9))).alias("z"))
+    return z.join(slopes.select(*key), key, "left_semi")
+
+
+def _spread(known: np.ndarray, rounds: int) -> np.ndarray:
+    """Rings around the known cells: a cell takes the mean of its neighbours in the ring before."""
+    value, seen = np.nan_to_num(known), np.isfinite(known)
+    for _ in range(rounds):
+        total, count = np.zeros_like(value), np.zeros(value.shape, dtype=int)
+        for axis in (0, 1):
+            for to, of in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+                to, of = ((to, slice(None)), (of, slice(None))) if axis == 0 else ((slice(None), to), (slice(None), of))
+                total[to] += value[of]
+                count[to] += seen[of]
+        ring = ~seen & (count > 0)
+        if not ring.any():
+            break
+        value[ring] = total[ring] / count[ring]
+        seen |= ring
+    return np.where(seen, value, np.nan)
+
+
+def inpaint(cells: DataFrame, reach: int = 32, tile: int = 256) -> DataFrame:
+    """NULL cells become the mean of their 4-neighbours one ring nearer to the valid cells; 0 if there are none.
+
+    A pass fills ``reach`` rings tile by tile with a halo as wide, which holds all that they
+    depend on; passes go on until none of the cells that can be filled is left.
     """
-    def fn(pdf):
-        p, q = _dense(pdf, "p", 0.0), _dense(pdf, "q", 0.0)
-        win = np.outer(np.hanning(p.shape[0]), np.hanning(p.shape[1]))
-        ax = (0, 1) if legacy else (1, 0)
-        div = np.gradient(p * win, axis=ax[0]) + np.gradient(q * win, axis=ax[1])
-        ky, kx = np.meshgrid(*[2 * np.pi * np.fft.fftfreq(n) for n in div.shape], indexing="ij")
-        k2 = ky ** 2 + kx ** 2
-        k2[0, 0] = 1.0
-        h = np.real(np.fft.ifft2(-np.fft.fft2(div) / k2))
-        h -= h.mean()
-        gy, gx = np.gradient(h / cell_m)
-        rms = np.sqrt(np.mean(gx ** 2 + gy ** 2))
-        return [h * np.tan(np.radians(rms_slope_deg)) / max(rms, 1e-9)]
-    return per_grid(slopes, fn, ["z"])
+    own = cells.select("raster_id", "row", "col", "z")
+    left = None
+    while True:
+        open_cells = own.groupBy("raster_id").agg(F.count_if(c("z").isNull()).alias("h"), F.count("z").alias("n")).where("n > 0").agg(F.sum("h")).first()[0] or 0
+        if not open_cells or open_cells == left:
+            return own.withColumn("z", F.coalesce("z", lit(0.0)))
+        left = open_cells
+        own = materialise(stencil(own, reach, lambda a: [_spread(a, reach)[reach:-reach, reach:-reach]], ["z"], border="nan", tile=tile), "inpaint")
 
 
 def _cubic(n_in: int, n_out: int) -> np.ndarray:
@@ -214,86 +267,129 @@ def area_weights(n_in: int, n_out: int) -> np.ndarray:
 
 
 def upsample_cubic(cells: DataFrame, n: int = 192) -> DataFrame:
-    """Bicubic resampling to n x n with nodata-aware area weights."""
-    ident = cells.schema["raster_id"].dataType.simpleString()
+    """Bicubic resampling to n x n with nodata-aware area weights, one pass along each axis."""
+    def first(blocks, *_):
+        z, m = blocks[0], blocks[0].shape[1]
+        return [np.nan_to_num(z) @ _cubic(m, n).T, np.isfinite(z) @ area_weights(m, n).T]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = _dense(pdf, "z")
-        ok = np.isfinite(a)
-        v = _cubic(a.shape[0], n) @ np.where(ok, a, 0.0) @ _cubic(a.shape[1], n).T
-        w = area_weights(a.shape[0], n) @ ok.astype(float) @ area_weights(a.shape[1], n).T
-        z = np.where(w < 1e-3, 0.0, v / np.maximum(w, 1e-6))
-        r, q = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
-        return pd.DataFrame({"raster_id": pdf["raster_id"].iat[0], "row": r.ravel(), "col": q.ravel(), "z": z.ravel()})
-    return _bounded(cells).groupBy("raster_id").applyInPandas(run, f"raster_id {ident}, row int, col int, z double")
+    def second(blocks, *_):
+        v, w, m = np.nan_to_num(blocks[0]), np.nan_to_num(blocks[1]), blocks[0].shape[1]
+        v, w = v @ _cubic(m, n).T, w @ area_weights(m, n).T
+        return [np.where(w < 1e-3, 0.0, v / np.maximum(w, 1e-6))]
+
+    return along(along(cells, "col", first, ["z"], ["v", "w"]), "row", second, ["v", "w"], ["z"]).drop("_h", "_w")
 
 
 # ------------------------------------------------------------ template search
 
-def ncc_map(image: np.ndarray, tpl: np.ndarray) -> np.ndarray:
-    """Zero-mean normalised correlation at every placement, by FFT and running sums."""
+def window_sums(image: np.ndarray, tpl: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of image, image squared and image times template under the template at every placement."""
     h, w = tpl.shape
-    t = tpl - tpl.mean()
-    base = image - image.mean()
-    shape = [base.shape[i] + t.shape[i] - 1 for i in (0, 1)]
-    full = np.fft.irfft2(np.fft.rfft2(base, shape) * np.fft.rfft2(t[::-1, ::-1], shape), shape)
-    num = full[h - 1:base.shape[0], w - 1:base.shape[1]]
+    shape = [image.shape[i] + tpl.shape[i] - 1 for i in (0, 1)]
+    full = np.fft.irfft2(np.fft.rfft2(image, shape) * np.fft.rfft2(tpl[::-1, ::-1], shape), shape)
 
     def box(a):
         s = np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
         return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
-    var = np.maximum(box(base ** 2) - box(base) ** 2 / (h * w), 0.0)
-    den = np.sqrt(var * (t ** 2).sum())
-    return np.where(den > 1e-9, num / np.where(den > 1e-9, den, 1.0), 0.0)
+    return box(image), box(image ** 2), full[h - 1:image.shape[0], w - 1:image.shape[1]]
 
 
-def template_ncc(templates: DataFrame, images: DataFrame, key: str = "raster_id") -> DataFrame:
-    """Best placement of a template in an image, per pair: (row, col, ncc).
+def template_ncc(templates: DataFrame, images: DataFrame, key: str | list[str] = "raster_id", tile: int = 256) -> DataFrame:
+    """Best placement of a template in an image, per pair: (row, col, ncc); NULLs if it doesn't fit.
 
-    Both sides are thumbnails of bounded size, so a pair fits one Arrow group and no
-    cell-by-shift rows are made.
+    Placements and the template are cut into tiles. A group holds one tile of each and the
+    image cells between; sums over the template's tiles are partial aggregates, so a pair
+    of any size is spread over many tasks. NULL and absent cells count as 0.
     """
-    ident = images.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else key
+    size = lambda **aggs: templates.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
+    t = size(_r=F.min("row"), _c=F.min("col"), _th=F.max("row") - F.min("row") + 1, _tw=F.max("col") - F.min("col") + 1, _ts=F.sum(F.coalesce("z", lit(0.0))))
+    t = t.withColumn("_tm", c("_ts") / (c("_th") * c("_tw")))
+    i = images.groupBy(*keys).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"), F.avg(F.coalesce("z", lit(0.0))).alias("_im"))
+    both = t.join(i, keys).withColumns({"_ph": c("_h") - c("_th") + 1, "_pw": c("_w") - c("_tw") + 1})
+    fits = both.where("_ph > 0 and _pw > 0")
+
+    def steps(a: Column, b: Column):
+        return F.sequence(F.floor(F.greatest(a, lit(0)) / tile).cast("int"), F.floor(b / tile).cast("int"))
+
+    tpl = templates.join(fits, keys).select(*keys, (c("row") - c("_r")).alias("row"), (c("col") - c("_c")).alias("col"),
+                                            (F.coalesce("z", lit(0.0)) - c("_tm")).alias("z"), "_ph", "_pw", "_th", "_tw", "_tm", "_im")
+    tpl = tpl.withColumns({"_a": F.floor(c("row") / tile).cast("int"), "_b": F.floor(c("col") / tile).cast("int"),
+                           "_y": F.explode(steps(lit(0), c("_ph") - 1))}).withColumn("_x", F.explode(steps(lit(0), c("_pw") - 1)))
+    # image rows of placement tile y under template tile a: (y + a) * tile up to two tiles on
+    img = images.join(fits, keys).select(*keys, "row", "col", (F.coalesce("z", lit(0.0)) - c("_im")).alias("z"), "_ph", "_pw", "_th", "_tw")
+    for axis, a, y, p, n in (("row", "_a", "_y", "_ph", "_th"), ("col", "_b", "_x", "_pw", "_tw")):
+        img = img.withColumn(y, F.explode(steps(lit(0), c(p) - 1))).withColumn(a, F.explode(steps(lit(0), c(n) - 1)))
+        img = img.where(c(axis).between((c(y) + c(a)) * tile, (c(y) + c(a) + 2) * tile - 2))
+    group = [*keys, "_y", "_x", "_a", "_b"]
+    # fresh column identities, so that two pieces of one table can be grouped together
+    tpl, img = (d.select(*[c(v).alias(v) for v in d.columns]) for d in (tpl, img))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        cols = [*keys, "row", "col", "s", "ss", "st"]
         if a.empty or b.empty:
-            return pd.DataFrame({key: [], "row": [], "col": [], "ncc": []})
-        tpl = _dense(a.assign(row=a["row"] - a["row"].min(), col=a["col"] - a["col"].min()), "z", 0.0)
-        img = _dense(b, "z", 0.0)
-        if tpl.shape[0] > img.shape[0] or tpl.shape[1] > img.shape[1]:
-            return pd.DataFrame({key: [], "row": [], "col": [], "ncc": []})
-        m = ncc_map(img, tpl)
-        r, q = np.unravel_index(int(np.argmax(m)), m.shape)
-        return pd.DataFrame({key: [b[key].iat[0]], "row": [r], "col": [q], "ncc": [m[r, q]]})
-    return _bounded(templates).groupBy(key).cogroup(_bounded(images).groupBy(key)).applyInPandas(
-        run, f"{key} {ident}, row int, col int, ncc double")
+            return pd.DataFrame({k: [] for k in cols})
+        ph, pw, th, tw, y, x, ta, tb = (int(a[k].iat[0]) for k in ("_ph", "_pw", "_th", "_tw", "_y", "_x", "_a", "_b"))
+        n, m = min(tile, ph - y * tile), min(tile, pw - x * tile)
+        h, w = min(tile, th - ta * tile), min(tile, tw - tb * tile)
+        piece, block = np.full((h, w), -a["_tm"].iat[0]), np.full((n + h - 1, m + w - 1), -a["_im"].iat[0])
+        piece[a["row"].to_numpy() - ta * tile, a["col"].to_numpy() - tb * tile] = a["z"].to_numpy()
+        r, q = b["row"].to_numpy() - (y + ta) * tile, b["col"].to_numpy() - (x + tb) * tile
+        ok = (r < block.shape[0]) & (q < block.shape[1])
+        block[r[ok], q[ok]] = b["z"].to_numpy()[ok]
+        s, ss, st = window_sums(block, piece)
+        i, j = np.indices(s.shape)
+        out = {k: a[k].iat[0] for k in keys} | {"row": i.ravel() + y * tile, "col": j.ravel() + x * tile}
+        return pd.DataFrame(out | {"s": s.ravel(), "ss": ss.ravel(), "st": st.ravel()})[cols]
+
+    ident = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
+    sums = tpl.groupBy(*group).cogroup(img.groupBy(*group)).applyInPandas(run, f"{ident}, row int, col int, s double, ss double, st double")
+    sums = sums.groupBy(*keys, "row", "col").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("st").alias("st"))
+    power = tpl.where("_y = 0 and _x = 0").groupBy(*keys).agg(
+        F.sum(c("z") * c("z")).alias("_tt"), F.count(lit(1)).alias("_tn"))
+    x = sums.join(fits.select(*keys, "_th", "_tw", "_tm").join(power, keys), keys)
+    x = x.withColumn("_tt", c("_tt") + (c("_th") * c("_tw") - c("_tn")) * c("_tm") * c("_tm"))  # absent cells of the template
+    den = F.sqrt(F.greatest(c("ss") - c("s") * c("s") / (c("_th") * c("_tw")), lit(0.0)) * c("_tt"))
+    # placements that agree to nine digits are ties: the first one wins
+    x = x.withColumn("ncc", F.when(den > 1e-9, c("st") / den).otherwise(0.0))
+    best = x.groupBy(*keys).agg(F.max_by(F.struct("row", "col", "ncc"), F.struct(F.round("ncc", 9), -c("row"), -c("col"))).alias("_b"))
+    return both.select(*keys).join(best, keys, "left").select(*keys, "_b.row", "_b.col", "_b.ncc")
 
 
 def scale_sweep(strips: DataFrame, images: DataFrame, base_scale: float = 1.0, factors: tuple[float, ...] = SWEEP,
-                max_tpl: int = 512, min_overlap: int = 128, key: str = "raster_id") -> DataFrame:
+                max_tpl: int | None = None, min_overlap: int = 128, key: str = "raster_id") -> DataFrame:
     """Resample a strip by each factor, search its centre in the image, keep the best factor.
 
-    Factors whose overlap is below ``min_overlap`` are skipped; the sampling distance is
-    0.5 / factor. (dx, dy) is the shift of the block against the image centre.
+    The strip is resampled by area once per factor, one pass along each axis. The template
+    is the largest even square that strip and image allow (at most ``max_tpl``); factors whose
+    square is below ``min_overlap`` are skipped, and a pair without any gets NULLs. The
+    sampling distance is 0.5 / factor; (dx, dy) is the shift against the image centre.
     """
-    ident = images.schema[key].dataType.simpleString()
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if not a.empty and not b.empty:
-            strip, img = _dense(a, "z", 0.0), _dense(b, "z", 0.0)
-            for k, f in enumerate(factors):
-                h, w = (max(2, int(n * base_scale * f)) for n in strip.shape)
-                t = min(max_tpl, min(h, img.shape[0]) // 2 * 2, min(w, img.shape[1]) // 2 * 2)
-                if t < min_overlap:
-                    continue
-                body = area_weights(strip.shape[0], h) @ strip @ area_weights(strip.shape[1], w).T
-                y, x = (h - t) // 2, (w - t) // 2
-                m = ncc_map(img, body[y:y + t, x:x + t])
-                r, q = np.unravel_index(int(np.argmax(m)), m.shape)
-                rows.append((b[key].iat[0], f, k, m[r, q], int(q) - (img.shape[1] - t) // 2, int(r) - (img.shape[0] - t) // 2, 0.5 / f))
-        return pd.DataFrame(rows, columns=[key, "factor", "ord", "ncc", "dx", "dy", "gsd_m"])
-    tries = _bounded(strips).groupBy(key).cogroup(_bounded(images).groupBy(key)).applyInPandas(
-        run, f"{key} {ident}, factor double, ord int, ncc double, dx int, dy int, gsd_m double")
-    best = tries.groupBy(key).agg(F.max_by(F.struct("factor", "ncc", "dx", "dy", "gsd_m"), F.struct("ncc", (-c("ord")).alias("o"))).alias("_b"))
-    return best.select(key, "_b.*")
+    def scaled(n: int, f: float) -> int:
+        return max(2, int(n * base_scale * f))
+
+    images = images.select(c(key).alias("raster_id"), "row", "col", "z")
+    strips = strips.select(c(key).alias("raster_id"), "row", "col", "z")
+    frame = images.groupBy("raster_id").agg((F.max("row") + 1).alias("_ih"), (F.max("col") + 1).alias("_iw"))
+    keys, parts = ["raster_id", "factor", "ord"], []
+    for k, f in enumerate(factors):
+        resample = lambda b, *_, f=f: [np.nan_to_num(b[0]) @ area_weights(b[0].shape[1], scaled(b[0].shape[1], f)).T]
+        body = along(along(strips, "col", resample, ["z"], ["z"]), "row", resample, ["z"], ["z"]).drop("_h", "_w")
+        parts.append(body.withColumns({"factor": lit(float(f)), "ord": lit(k)}))
+    body = parts[0]
+    for p in parts[1:]:
+        body = body.unionByName(p)
+    body = materialise(body, "sweep")
+    dims = body.groupBy(*keys).agg((F.max("row") + 1).alias("_sh"), (F.max("col") + 1).alias("_sw")).join(frame, "raster_id")
+    even = lambda a, b: F.floor(F.least(a, b) / 2) * 2
+    t = F.least(even(c("_sh"), c("_ih")), even(c("_sw"), c("_iw")), *([lit(max_tpl)] if max_tpl else []))
+    dims = dims.withColumn("_t", t.cast("int")).where(c("_t") >= min_overlap)
+    top, side = F.floor((c("_sh") - c("_t")) / 2), F.floor((c("_sw") - c("_t")) / 2)
+    tpl = body.join(dims, keys).where((c("row") >= top) & (c("row") < top + c("_t")) & (c("col") >= side) & (c("col") < side + c("_t")))
+    pairs = images.join(dims.select(*keys), "raster_id").select(*keys, "row", "col", "z")
+    tries = template_ncc(tpl.select(*keys, "row", "col", "z"), pairs, keys).where("ncc is not null").join(dims, keys)
+    tries = tries.withColumns({"dx": (c("col") - F.floor((c("_iw") - c("_t")) / 2)).cast("int"),
+                               "dy": (c("row") - F.floor((c("_ih") - c("_t")) / 2)).cast("int"), "gsd_m": 0.5 / c("factor")})
+    best = tries.groupBy("raster_id").agg(F.max_by(F.struct("factor", "ncc", "dx", "dy", "gsd_m"), F.struct(F.round("ncc", 9), -c("ord"))).alias("_b"))
+    out = strips.select("raster_id").distinct().join(frame.select("raster_id"), "raster_id").join(best, "raster_id", "left")
+    return out.select(c("raster_id").alias(key), "_b.*")
