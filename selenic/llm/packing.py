@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,32 +50,55 @@ PLAIN = re.compile(f"[\\t\\n\\r\\x20-\\x7e{re.escape(_LETTERS + _NUMBERS + _OTHE
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{_LETTERS}]+|[0-9{_NUMBERS}]|[^\\s0-9a-zA-Z{re.escape(_LETTERS + _NUMBERS)}]+")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+class WordIds(dict):
+    """Ids of pre-tokens as little-endian bytes; those of two generations of at most ``REMEMBER`` / 2 are remembered."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters, self.old = model, byte_letters(), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(self) >= REMEMBER // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, the same as the tokenizer gives.
 
-    Pre-tokens are encoded once per distinct string and remembered; texts with other
+    Pre-tokens are merged by the tokenizer's model once and remembered; texts with other
     characters or with special strings go through the tokenizer whole.
     """
 
     def __init__(self, config: str):
-        self.tokenizer, self.known = Tokenizer.from_str(config), {}
-
-    def _plain(self, text: str) -> bytes:
-        pieces = SPLIT.findall(text.lower())
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBER:
-                self.known, new = {}, list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+        self.tokenizer = Tokenizer.from_str(config)
+        self.known = WordIds(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
         if "<|" not in text and PLAIN.fullmatch(text):
-            return self._plain(text)
+            return b"".join(map(self.known.__getitem__, SPLIT.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def encoder(config: str) -> Encoder:
+    """One encoder a worker process; what it remembers serves its later tasks."""
+    return Encoder(config)
+
+
 def cuts(n: int, capacity: int = CAPACITY, tolerance: int = TOLERANCE) -> list[int]:
     """Lengths of the pieces of ``n`` tokens."""
     out = [capacity] * (n // capacity)
@@ -98,11 +123,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(config.value)
+        ids_of = encoder(config.value).encode
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, at = encoder.encode(text or "") + end, 0
+                ids, at = ids_of(text or "") + end, 0
                 n = len(ids) // 4
                 for length in cuts(n, capacity):
                     out.append((doc_id, at, length, zlib.crc32(ids[4 * at:4 * (at + length)]), n))
