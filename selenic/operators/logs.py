@@ -28,10 +28,14 @@ def sliding_count(events: DataFrame, key: str, ts: str, window_ms: int, limit: i
     ms = F.unix_millis(c(ts).cast("timestamp"))
     keyed = events.withColumn("_ms", ms)
     ticks = keyed.groupBy(key, "_ms").agg(F.count("*").alias("_n"))
+    # a tick counts from its time on and no longer one window later: one running sum a bucket
     home = F.floor(c("_ms") / window_ms)
-    spread = ticks.withColumn("_home", home).withColumn("_b", F.explode(F.array(home, home + 1)))
-    w = W.partitionBy(key, "_b").orderBy("_ms").rangeBetween(-(window_ms - 1), 0)
-    total = spread.withColumn("n_window", F.sum("_n").over(w)).where(c("_b") == c("_home"))
+    both = F.array(F.struct(c("_ms").alias("_at"), lit(1).alias("_own"), c("_n").alias("_d"), home.alias("_b")),
+                   F.struct(c("_ms").alias("_at"), lit(2).alias("_own"), c("_n").alias("_d"), (home + 1).alias("_b")),
+                   F.struct((c("_ms") + window_ms).alias("_at"), lit(0).alias("_own"), (-c("_n")).alias("_d"), (home + 1).alias("_b")))
+    steps = ticks.select(key, F.explode(both).alias("_s")).select(key, "_s.*")
+    w = W.partitionBy(key, "_b").orderBy("_at", "_own").rowsBetween(W.unboundedPreceding, 0)
+    total = steps.withColumn("n_window", F.sum("_d").over(w)).where("_own = 1").withColumnRenamed("_at", "_ms")
     total = total.select(key, "_ms", "n_window", (c("n_window") <= limit).alias("allowed"))
     return keyed.join(total, [key, "_ms"]).drop("_ms")
 
@@ -48,13 +52,20 @@ def ttl_gate(events: DataFrame, key: str, ts: str, ttl_ms: int) -> DataFrame:
     """
     ms = F.unix_millis(c(ts).cast("timestamp"))
     ticks = events.select(key, ms.alias("t")).groupBy(key, "t").agg(F.count("*").alias("n_events"))
-    home = F.floor(c("t") / (2 * ttl_ms))
-    spread = ticks.withColumn("_home", home).withColumn("_b", F.explode(F.array(home - 1, home, home + 1)))
-    order = W.partitionBy(key, "_b").orderBy("t")
-    before = F.max("t").over(order.rangeBetween(-(ttl_ms - 1), -1))
-    after = F.min("t").over(order.rangeBetween(ttl_ms, 2 * ttl_ms - 1))
-    nodes = (spread.withColumn("_prev", before).withColumn("nxt", after).where(c("_b") == c("_home"))
-             .select(key, "t", "n_events", c("_prev").isNull().alias("start"), "nxt"))
+    # events and, one ttl after each, the question for the next event; time runs backwards in a bucket
+    bucket = lambda t: F.floor(t / (2 * ttl_ms))
+    marks = F.array(F.struct(c("t").alias("at"), lit(0).alias("ask"), bucket(c("t")).alias("_b"), c("t").alias("event")),
+                    F.struct(c("t").alias("at"), lit(0).alias("ask"), (bucket(c("t")) - 1).alias("_b"), c("t").alias("event")),
+                    F.struct((c("t") + ttl_ms).alias("at"), lit(1).alias("ask"), bucket(c("t") + ttl_ms).alias("_b"), lit(None).cast("long").alias("event")))
+    back = W.partitionBy(key, "_b").orderBy(F.desc("at"), "ask").rowsBetween(W.unboundedPreceding, 0)
+    asked = ticks.select(key, "t", F.explode(marks).alias("_m")).select(key, "t", "_m.*")
+    asked = asked.withColumn("nxt", F.last("event", ignorenulls=True).over(back)).where("ask = 1")
+    asked = asked.select(key, "t", F.when(c("nxt") < c("t") + 2 * ttl_ms, c("nxt")).alias("nxt"))
+    home = bucket(c("t"))
+    near = ticks.withColumn("_home", home).withColumn("_b", F.explode(F.array(home, home + 1)))
+    near = near.withColumn("_prev", F.lag("t").over(W.partitionBy(key, "_b").orderBy("t"))).where(c("_b") == c("_home"))
+    nodes = near.join(asked, [key, "t"]).select(
+        key, "t", "n_events", F.coalesce(c("_prev") <= c("t") - ttl_ms, lit(True)).alias("start"), "nxt")
     # without a predecessor inside a ttl an event starts anew, so chains never need a longer reach
     nodes = materialise(nodes, "ttl-nodes")
     # a chain may end where the next event lies beyond 2 ttl: that event is a start by itself

@@ -1,12 +1,14 @@
 """Stateful event operators as Structured Streaming jobs.
 
-Each has a batch twin in ``operators.logs`` with the same result on the same events.
-Within a micro-batch, events of one key and millisecond are merged before they touch
-the state, so a busy key costs its distinct milliseconds.
+Each has a batch twin in ``operators.logs`` with the same result on the same events,
+whatever batches they arrive in; rows behind the watermark are dropped. Within a
+micro-batch, events of one key and millisecond are merged before they touch the state,
+so a busy key costs its distinct milliseconds.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,7 +23,6 @@ c, lit = F.col, F.lit
 # fixed values of the services
 RATE_WINDOW_MS, STATUS_TTL_MS = 60_000, 600_000
 MATCH_TTL_MS, TERRAIN_TTL_MS, COOLDOWN_MS = 1_800_000, 600_000, 300_000
-MAX_WARNINGS = 40
 LATENESS = "10 minutes"
 
 
@@ -40,46 +41,101 @@ def _ticks(batches: Iterator[pd.DataFrame], ts: str) -> pd.Series:
     return total.astype("int64").sort_index()
 
 
+def _open_ticks(state: GroupState, ticks: pd.Series, back_ms: int) -> tuple[pd.Series, int]:
+    """Ticks of the state and new ones in event order, and the version of this answer.
+
+    The state keeps what a row that is still on time can reach back to, and is dropped
+    when the watermark has passed all of it.
+    """
+    past, cnt, version = (state.get[0], state.get[1], state.get[2]) if state.exists else ([], [], 0)
+    every = pd.Series(cnt, index=past, dtype="int64").add(ticks, fill_value=0).astype("int64").sort_index()
+    floor = state.getCurrentWatermarkMs() - back_ms
+    keep = every[every.index > floor]
+    if len(keep):
+        state.update((keep.index.astype("int64").tolist(), keep.tolist(), version + 1))
+        state.setTimeoutTimestamp(max(int(keep.index[-1]) + back_ms, state.getCurrentWatermarkMs() + 1))
+    else:
+        state.remove()
+    return every, version + 1
+
+
 def rate_limit_stream(events: DataFrame, key: str = "key", ts: str = "ts", window_ms: int = RATE_WINDOW_MS, limit: int = 10) -> DataFrame:
-    """Sliding count per key: (key, ms, n_events, n_window, allowed).
+    """Sliding count per key: (key, ms, n_events, n_window, allowed, version).
 
-    State is the list of (millisecond, count) still inside the window.
+    A row that arrives out of order but before the watermark changes the counts after it;
+    those milliseconds are given again with a higher version (see ``newest``).
     """
     ktype = events.schema[key].dataType.simpleString()
 
     def step(k, batches, state: GroupState):
+        columns = [key, "ms", "n_events", "n_window", "allowed", "version"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(columns=columns)
+            return
         ticks = _ticks(batches, ts)
-        past, cnt = state.get if state.exists else ([], [])
-        live = list(zip(past, cnt))
-        rows = []
-        for ms, n in ticks.items():
-            live = [(t, m) for t, m in live if t > ms - window_ms] + [(int(ms), int(n))]
-            total = sum(m for _, m in live)
-            rows.append((k[0], int(ms), int(n), total, total <= limit))
-        state.update(([t for t, _ in live], [m for _, m in live]))
-        yield pd.DataFrame(rows, columns=[key, "ms", "n_events", "n_window", "allowed"])
+        ticks = ticks[ticks.index >= state.getCurrentWatermarkMs()]  # Spark's own check lags one batch behind
+        if ticks.empty:
+            yield pd.DataFrame(columns=columns)
+            return
+        every, version = _open_ticks(state, ticks, window_ms)
+        rows, live, total = [], deque(), 0
+        for ms, n in every.items():
+            live.append((ms, n))
+            total += n
+            while live[0][0] <= ms - window_ms:
+                total -= live.popleft()[1]
+            if ms >= ticks.index[0]:
+                rows.append((k[0], int(ms), int(n), int(total), bool(total <= limit), version))
+        yield pd.DataFrame(rows, columns=columns)
     return event_time(events, ts).select(key, ts).groupBy(key).applyInPandasWithState(
-        step, f"{key} {ktype}, ms bigint, n_events bigint, n_window bigint, allowed boolean",
-        "ms array<bigint>, n array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        step, f"{key} {ktype}, ms bigint, n_events bigint, n_window bigint, allowed boolean, version bigint",
+        "ms array<bigint>, n array<bigint>, version bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ttl_gate_stream(events: DataFrame, key: str = "key", ts: str = "ts", ttl_ms: int = MATCH_TTL_MS) -> DataFrame:
-    """``fresh`` or ``hit`` per key and millisecond; state is the last fresh time."""
+    """``fresh`` or ``hit`` per key and millisecond, with a version as in ``rate_limit_stream``.
+
+    The state is the last fresh time that no row on time can change any more, and the
+    milliseconds since; it goes when its time to live is over.
+    """
     ktype = events.schema[key].dataType.simpleString()
 
     def step(k, batches, state: GroupState):
+        columns = [key, "t", "n_events", "state", "version"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(columns=columns)
+            return
         ticks = _ticks(batches, ts)
-        last = state.get[0] if state.exists else None
-        rows = []
-        for ms, n in ticks.items():
+        ticks = ticks[ticks.index >= state.getCurrentWatermarkMs()]  # Spark's own check lags one batch behind
+        if ticks.empty:
+            yield pd.DataFrame(columns=columns)
+            return
+        past, cnt, version, last = state.get if state.exists else ([], [], 0, None)
+        every = pd.Series(cnt, index=past, dtype="int64").add(ticks, fill_value=0).astype("int64").sort_index()
+        mark = state.getCurrentWatermarkMs()
+        rows, settled = [], last
+        for ms, n in every.items():
             fresh = last is None or ms >= last + ttl_ms
             last = int(ms) if fresh else last
-            rows.append((k[0], int(ms), int(n), "fresh" if fresh else "hit"))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(rows, columns=[key, "t", "n_events", "state"])
+            settled = last if ms < mark else settled
+            if ms >= ticks.index[0]:
+                rows.append((k[0], int(ms), int(n), "fresh" if fresh else "hit", version + 1))
+        keep = every[every.index >= mark]
+        state.update((keep.index.astype("int64").tolist(), keep.tolist(), version + 1, settled))
+        state.setTimeoutTimestamp(max(int(every.index[-1]) + ttl_ms, mark + 1))
+        yield pd.DataFrame(rows, columns=columns)
     return event_time(events, ts).select(key, ts).groupBy(key).applyInPandasWithState(
-        step, f"{key} {ktype}, t bigint, n_events bigint, state string", "last bigint", "append", GroupStateTimeout.NoTimeout)
+        step, f"{key} {ktype}, t bigint, n_events bigint, state string, version bigint",
+        "ms array<bigint>, n array<bigint>, version bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each answer of a rate or gate stream."""
+    rest = [x for x in answers.columns if x not in keys]
+    best = answers.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_b"))
+    return best.select(*keys, *[c(f"_b.{x}").alias(x) for x in rest if x != "version"])
 
 
 def job_status_stream(jobs: DataFrame, key: str = "scene_id", ts: str = "created_at", tie: str = "job_id") -> DataFrame:
@@ -89,7 +145,7 @@ def job_status_stream(jobs: DataFrame, key: str = "scene_id", ts: str = "created
         F.max_by("stage", order).alias("stage"), F.max_by("status", order).alias("status"), F.max(ts).alias(ts))
 
 
-def expired(status: DataFrame, now_ms, ts: str = "created_at", ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
+def alive(status: DataFrame, now_ms, ts: str = "created_at", ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
     """Status rows still alive at ``now_ms`` (a Column or number)."""
     return status.where(F.unix_millis(c(ts).cast("timestamp")) > now_ms - ttl_ms)
 

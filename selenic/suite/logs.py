@@ -57,7 +57,7 @@ SELECT key, ms, count(*) AS n_events, max(n) AS n_window, max(n) <= 2 AS allowed
   FROM (SELECT *, {MS} AS ms FROM {{fx:requests}}) q) q2 GROUP BY key, ms""")
 def _(inp):
     ev = _event_stream(inp).select(c("user_id").alias("key"), "ts")
-    return _drain(inp, streams.rate_limit_stream(ev, window_ms=6 * HOUR, limit=2), "rate-limit")
+    return streams.newest(_drain(inp, streams.rate_limit_stream(ev, window_ms=6 * HOUR, limit=2), "rate-limit"), ["key", "ms"])
 
 
 # the chain of fresh events per key, one hop of a recursion per fresh event
@@ -75,7 +75,7 @@ def _(inp):
 @query("str_03_ttl_gate", TTL)
 def _(inp):
     ev = _event_stream(inp).select(c("user_id").alias("key"), "ts")
-    return _drain(inp, streams.ttl_gate_stream(ev, ttl_ms=24 * HOUR), "ttl-gate")
+    return streams.newest(_drain(inp, streams.ttl_gate_stream(ev, ttl_ms=24 * HOUR), "ttl-gate"), ["key", "t"])
 
 
 @query("str_04_job_status", f"""
