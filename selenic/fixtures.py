@@ -49,7 +49,7 @@ SELECT scene_id, product_id, max(ncc) AS ncc FROM (
     CAST(100000 + l_suppkey AS STRING),
     CASE l_suppkey % 3 WHEN 0 THEN '_d_dtm_d18' WHEN 1 THEN '_d_dtm_d32' ELSE '_d_dtm_n18' END) AS product_id,
     CAST(l_discount AS DOUBLE) * 10 - 0.3 AS ncc
-  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity > 45) q
+  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) q
 GROUP BY scene_id, product_id"""
 
 FX["cells"] = """

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the mineral legend (id, name, colour)
+# fixed values: the mineral legend (id, name, colour, rule)
 LEGEND = (
-    (0, "pyroxene-rich (mafic)", "#d64545"),
-    (1, "olivine-rich (mafic)", "#3fa66a"),
-    (2, "feldspathic (highland-like)", "#cccccc"),
-    (3, "mixed / immature regolith", "#c8a24a"),
-    (4, "3 um OH/H2O-bearing", "#4a7fc8"),
-    (5, "low signal / uncertain", "#333333"),
+    (0, "pyroxene-rich (mafic)", "#d64545", "deep 1 um + deep 2 um crystal-field bands"),
+    (1, "olivine-rich (mafic)", "#3fa66a", "broad 1 um band, weak 2 um band"),
+    (2, "feldspathic (highland-like)", "#cccccc", "shallow 1 um and 2 um bands (low Fe bearing phases)"),
+    (3, "mixed / immature regolith", "#c8a24a", "intermediate band depths"),
+    (4, "3 um OH/H2O-bearing", "#4a7fc8", "distinct absorption drop near 3 um"),
+    (5, "low signal / uncertain", "#333333", "reflectance too low or saturated for band-depth analysis"),
 )
 FIRST_UM, SPAN_UM = 0.8, 4.2
 FEATURES_UM = ((0.85, 1.35), (1.9, 2.6), (2.8, 3.1))

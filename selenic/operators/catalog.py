@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from selenic.functions.spectra import LEGEND
@@ -64,7 +65,7 @@ def required_minus_present(required: DataFrame, present: DataFrame) -> DataFrame
 
 def legend(spark) -> DataFrame:
     """The six mineral classes; a fixed size, safe to broadcast."""
-    return spark.createDataFrame([tuple(x) for x in LEGEND], "class_id int, name string, color string")
+    return spark.createDataFrame([tuple(x) for x in LEGEND], "class_id int, name string, color string, rule string")
 
 
 def decode_class(df: DataFrame, col: str = "class_id") -> DataFrame:
@@ -77,8 +78,9 @@ def _grams(s: Column, q: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(lit(1), n), lambda i: F.substr(s, i, lit(q))))
 
 
-def containing_pairs(short: DataFrame, long: DataFrame, q: int = 8) -> DataFrame:
-    """(short, long) where the text ``long`` contains ``short``.
+def containing_pairs(short: DataFrame, long: DataFrame, q: int = 8, first: bool = False) -> DataFrame:
+    """(short, long) where the text ``long`` contains ``short``; with ``first`` a text shorter
+    than q meets the smallest of its long texts only.
 
     Every short text is anchored on its rarest q-gram and joined only with the long
     texts that hold this gram; texts shorter than q are joined on themselves.
@@ -98,6 +100,8 @@ def containing_pairs(short: DataFrame, long: DataFrame, q: int = 8) -> DataFrame
     pieces = big.select("long", F.explode(F.flatten(F.transform(
         F.sequence(lit(1), lit(q - 1)), lambda n: F.transform(
             F.sequence(lit(1), F.greatest(lit(1), F.length("long") - n + 1)), lambda i: F.substr(c("long"), i, n))))).alias("short"))
+    if first:
+        pieces = pieces.groupBy("short").agg(F.min("long").alias("long"))
     return hits.unionByName(pieces.join(tiny, "short").select("short", "long").distinct())
 
 
@@ -112,7 +116,7 @@ def pick_reference(scenes: DataFrame, products: DataFrame, q: int = 8) -> DataFr
     missing = exact.where(c("product_id").isNull()).select("scene_id", "own_id")
     own = missing.select("own_id").where("own_id is not null and own_id <> ''").distinct()
     inside = containing_pairs(ids.select(c("product_id").alias("short")), own.select(c("own_id").alias("long")), q)
-    around = containing_pairs(own.select(c("own_id").alias("short")), ids.select(c("product_id").alias("long")), q)
+    around = containing_pairs(own.select(c("own_id").alias("short")), ids.select(c("product_id").alias("long")), q, first=True)
     match = (inside.select(c("long").alias("own_id"), c("short").alias("product_id"))
              .unionByName(around.select(c("short").alias("own_id"), c("long").alias("product_id"))))
     first = match.groupBy("own_id").agg(F.min("product_id").alias("fallback"))
@@ -132,17 +136,21 @@ def scene_payload(scenes: DataFrame, refs: DataFrame, craters: DataFrame) -> Dat
     return scenes.join(ref, "scene_id", "left").join(crater, "scene_id", "left")
 
 
-def grounding_context(docs: DataFrame, key: str, max_chars: int = 1_000_000) -> DataFrame:
-    """One context text per key: documents in name order, each under its header.
+def grounding_context(docs: DataFrame, key: str, part_chars: int | None = None) -> DataFrame:
+    """Context texts per key: (key, part, n_chars, context), documents in name order, each under its header.
 
-    ``docs(key, name, body)``. Only groups whose total length fits are put together; a
-    larger one gets status ``too_large`` and stays available as ordered blocks.
+    ``docs(key, name, body)``. With ``part_chars`` the text of a key comes in numbered parts that
+    begin with a new document once the text so far has reached that length, so no group
+    grows with the data and nothing is lost. Without it a key is one part.
     """
     from selenic.functions.text import context_block
 
     blocks = docs.select(key, "name", context_block(c("name"), c("body")).alias("block"))
-    size = blocks.groupBy(key).agg(F.sum(F.length("block") + 2).alias("n_chars"))
-    fits = blocks.join(size.where(c("n_chars") <= max_chars).select(key), key, "left_semi")
-    text = fits.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("name", "block"))), lambda d: d["block"]), "\n\n").alias("context"))
-    return size.join(text, key, "left").withColumn("status", F.when(c("context").isNull(), "too_large").otherwise("ok"))
+    if part_chars:
+        before = F.sum(F.length("block") + 2).over(W.partitionBy(key).orderBy("name", "block").rowsBetween(W.unboundedPreceding, -1))
+        blocks = blocks.withColumn("part", F.floor(F.coalesce(before, lit(0)) / part_chars).cast("int"))
+    else:
+        blocks = blocks.withColumn("part", lit(0))
+    return blocks.groupBy(key, "part").agg(
+        F.sum(F.length("block") + 2).alias("n_chars"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "block"))), lambda d: d["block"]), "\n\n").alias("context"))

@@ -11,10 +11,11 @@ from selenic.session import materialise
 c, lit = F.col, F.lit
 
 
-def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    """First k rows per key. Spark cuts each task's rows to k before the shuffle."""
+def top_k(df: DataFrame, keys: list[str], order: list, k: int | None) -> DataFrame:
+    """First k rows per key, or all with their rank. Spark cuts each task's rows to k before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked.where(c("rank") <= k) if k else ranked
 
 
 def sliding_count(events: DataFrame, key: str, ts: str, window_ms: int, limit: int) -> DataFrame:

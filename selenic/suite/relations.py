@@ -81,8 +81,11 @@ def _(inp):
     return cov.select("scene_id", "product_id", r("fx", 7).alias("fx"), r("fy", 7).alias("fy"))
 
 
-BOX_SQL = """SELECT scene_id AS box_id, lat_deg - 0.5 AS lat_lo, lat_deg + 0.5 AS lat_hi,
-  greatest(0, lon_deg - 2.5) AS lon_lo, least(359.99, lon_deg + 2.5) AS lon_hi FROM {fx:scenes}"""
+# a box across the 0/360 meridian is two boxes
+BOX_SQL = """SELECT box_id, lat_lo, lat_hi, CASE WHEN k = 0 THEN greatest(0, w) WHEN w < 0 THEN w + 360 ELSE 0 END AS lon_lo,
+  CASE WHEN k = 0 THEN least(360, e) WHEN w < 0 THEN 360 ELSE e - 360 END AS lon_hi
+  FROM (SELECT scene_id AS box_id, lat_deg - 0.5 AS lat_lo, lat_deg + 0.5 AS lat_hi, lon_deg - 2.5 AS w, lon_deg + 2.5 AS e FROM {fx:scenes}) q
+  JOIN (VALUES (0), (1)) s(k) ON k = 0 OR w < 0 OR e > 360"""
 
 
 @query("joi_03_corner_in_box", f"""
@@ -118,7 +121,7 @@ def _(inp):
 WITH scene AS (SELECT c_custkey AS scene_id, CASE WHEN c_custkey % 3 = 0 THEN product_id END AS reference_id,
     CASE c_custkey % 4 WHEN 0 THEN concat('crop_', product_id, '_n', CAST(c_custkey AS STRING)) WHEN 1 THEN substr(product_id, 5, 18)
       WHEN 2 THEN concat('other_', CAST(c_custkey AS STRING)) ELSE substr(product_id, 5, 7) END AS own_id
-  FROM {customer} JOIN {fx:products} ON CAST(substr(product_id, 14, 6) AS BIGINT) - 100000 = c_custkey % 64)
+  FROM {customer} JOIN {fx:products} ON CAST(substr(product_id, 14, 6) AS BIGINT) - 100000 = c_custkey % (SELECT count(*) FROM {fx:products}))
 SELECT s.scene_id, coalesce(s.reference_id, f.product_id) AS product_id,
   CASE WHEN s.reference_id IS NOT NULL THEN 'recorded' WHEN f.product_id IS NOT NULL THEN 'substring' END AS how
 FROM scene s LEFT JOIN (SELECT scene_id, min(p.product_id) AS product_id FROM scene JOIN {fx:products} p
@@ -126,7 +129,8 @@ FROM scene s LEFT JOIN (SELECT scene_id, min(p.product_id) AS product_id FROM sc
 def _(inp):
     prods = inp.fx("products").select("product_id")
     k = (F.substring("product_id", 14, 6).cast("long") - 100000).alias("_k")
-    scenes = inp.table("customer").withColumn("_k", c("c_custkey") % 64).join(prods.select(k, "product_id"), "_k")
+    n = prods.agg(F.count("*").alias("_n"))  # one row
+    scenes = inp.table("customer").crossJoin(F.broadcast(n)).withColumn("_k", c("c_custkey") % c("_n")).join(prods.select(k, "product_id"), "_k")
     m = c("c_custkey") % 4
     own = (F.when(m == 0, F.concat(lit("crop_"), "product_id", lit("_n"), "c_custkey"))
            .when(m == 1, F.substring("product_id", 5, 18)).when(m == 2, F.concat(lit("other_"), "c_custkey"))
@@ -139,12 +143,14 @@ def _(inp):
 @query("joi_09_decode_class", """
 SELECT event_id, class_id, CASE class_id WHEN 0 THEN 'pyroxene-rich (mafic)' WHEN 1 THEN 'olivine-rich (mafic)'
   WHEN 2 THEN 'feldspathic (highland-like)' WHEN 3 THEN 'mixed / immature regolith' WHEN 4 THEN '3 um OH/H2O-bearing'
-  WHEN 5 THEN 'low signal / uncertain' END AS name, CASE class_id WHEN 0 THEN '#d64545' WHEN 1 THEN '#3fa66a' WHEN 2 THEN '#cccccc'
+  WHEN 5 THEN 'low signal / uncertain' END AS name, CASE class_id WHEN 0 THEN 'deep 1 um + deep 2 um crystal-field bands' WHEN 1 THEN 'broad 1 um band, weak 2 um band'
+  WHEN 2 THEN 'shallow 1 um and 2 um bands (low Fe bearing phases)' WHEN 3 THEN 'intermediate band depths' WHEN 4 THEN 'distinct absorption drop near 3 um'
+  WHEN 5 THEN 'reflectance too low or saturated for band-depth analysis' END AS rule, CASE class_id WHEN 0 THEN '#d64545' WHEN 1 THEN '#3fa66a' WHEN 2 THEN '#cccccc'
   WHEN 3 THEN '#c8a24a' WHEN 4 THEN '#4a7fc8' WHEN 5 THEN '#333333' END AS color
 FROM (SELECT event_id, CAST(event_id % 7 AS INT) AS class_id FROM {events}) q""")
 def _(inp):
     df = inp.table("events").select("event_id", (c("event_id") % 7).cast("int").alias("class_id"))
-    return catalog.decode_class(df).select("event_id", df.class_id, "name", "color")
+    return catalog.decode_class(df).select("event_id", df.class_id, "name", "color", "rule")
 
 
 @query("joi_10_purge_stale", """
