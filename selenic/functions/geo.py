@@ -147,6 +147,11 @@ def effective_sun(az_deg: Column, el_deg: Column, label_az: Column, label_el: Co
     return F.struct(az.alias("az_deg"), el.alias("el_deg"), solar_incidence(el).alias("incidence_deg"))
 
 
+def in_shadow(z: Column, p01: Column) -> Column:
+    """Cells darker than any lit one: below three counts or the first percentile."""
+    return F.coalesce(z < F.greatest(F.lit(3.0), p01), F.lit(False))
+
+
 def lambert_slope(z: Column, median: Column, p01: Column, sun: Column, max_slope_deg: float = 35.0,
                   legacy: bool = False) -> Column:
     """Sun-parallel slope (p, q) of a Lambertian surface, zero in shadow.
@@ -160,7 +165,7 @@ def lambert_slope(z: Column, median: Column, p01: Column, sun: Column, max_slope
     limit = math.tan(math.radians(max_slope_deg))
     raw = F.try_divide(z - scale * sz, scale * (sx * sx + sy * sy))
     t = F.greatest(F.lit(-limit), F.least(F.lit(limit), raw))
-    t = F.when(z < F.greatest(F.lit(3.0), p01), 0.0).when(z.isNotNull(), t if legacy else -t)
+    t = F.when(in_shadow(z, p01), 0.0).when(z.isNotNull(), t if legacy else -t)
     return F.struct((sx * t).alias("p"), (sy * t).alias("q"))
 
 

@@ -341,11 +341,12 @@ def contours(cells: DataFrame, levels: DataFrame) -> DataFrame:
                       c("_p")[0]["x"].alias("x1"), c("_p")[0]["y"].alias("y1"), c("_p")[1]["x"].alias("x2"), c("_p")[1]["y"].alias("y2"))
 
 
-def lambert_slopes(cells: DataFrame, sun: Column, legacy: bool = False) -> DataFrame:
+def lambert_slopes(cells: DataFrame, sun: Column, legacy: bool = False, shadow: bool = False) -> DataFrame:
+    """Cells with slopes p and q; ``shadow`` adds the flag of the cells too dark to carry one."""
     stats = exact_percentiles(cells, ID, "z", {"_med": .5, "_p01": .01})
     x = cells.join(stats, "raster_id").withColumn("_s", sun)
     return x.withColumn("_pq", geo.lambert_slope(c("z"), c("_med"), c("_p01"), c("_s"), legacy=legacy)).select(
-        *cells.columns, "_pq.p", "_pq.q")
+        *cells.columns, "_pq.p", "_pq.q", *([geo.in_shadow(c("z"), c("_p01")).alias("shadow")] if shadow else []))
 
 
 def hillshade(cells: DataFrame, az: Column, el: Column, albedo: Column | float = 0.12, cell_m: float = 1.0) -> DataFrame:

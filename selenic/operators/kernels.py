@@ -6,12 +6,15 @@ on tiles of both sides, so a raster of any size is spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selenic.operators.cells import ID, SWEEP, correlation, gaussian_weights
+from selenic.operators.cells import ID, SWEEP, correlation, gaussian_radius, gaussian_weights
 from selenic.operators.stats import with_group
 from selenic.session import materialise
 
@@ -23,8 +26,8 @@ STRIP = 1 << 18
 # ------------------------------------------------------------ stencils
 
 def stencil(cells: DataFrame, halo: int, fn, outputs: list[str], border: str = "symmetric", tile: int = 256,
-            value: str = "z") -> DataFrame:
-    """Apply ``fn(padded_array) -> arrays`` tile by tile.
+            value: str = "z", sized: bool = False) -> DataFrame:
+    """Apply ``fn(padded_array) -> arrays`` tile by tile, with the raster's lines and samples if ``sized``.
 
     ``fn`` gets the tile with ``halo`` extra cells on every side (NaN for nodata) and
     returns one array per output for the tile itself. At the raster border the halo is
@@ -45,7 +48,8 @@ def stencil(cells: DataFrame, halo: int, fn, outputs: list[str], border: str = "
         rr, cc = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         block[rr - by0, cc - bx0] = pdf[value].to_numpy(dtype=float)
         pad = ((halo - (y0 - by0), halo - (by1 - y1)), (halo - (x0 - bx0), halo - (bx1 - x1)))
-        arrays = fn(np.pad(block, pad, constant_values=np.nan) if border == "nan" else np.pad(block, pad, mode=border))
+        block = np.pad(block, pad, constant_values=np.nan) if border == "nan" else np.pad(block, pad, mode=border)
+        arrays = fn(block, h, w) if sized else fn(block)
         own = (rr >= y0) & (rr < y1) & (cc >= x0) & (cc < x1)
         out = {"raster_id": pdf["raster_id"].to_numpy()[own], "row": rr[own], "col": cc[own]}
         for name, arr in zip(outputs, arrays):
@@ -65,15 +69,25 @@ def _separable(a: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sum(w[i] * a[i:a.shape[0] - 2 * k + i, :] for i in range(2 * k + 1))
 
 
-def gaussian_smooth(cells: DataFrame, sigma: float, tile: int = 256, value: str = "z") -> DataFrame:
+class Sized(NamedTuple):
+    """A width that follows the raster's size: of(lines, samples), and its upper bound."""
+
+    of: Callable[[int, int], float]
+    most: float
+
+
+def gaussian_smooth(cells: DataFrame, sigma: float | Sized, tile: int = 256, value: str = "z") -> DataFrame:
     """Gaussian mean over the valid cells (radius 4 sigma, mirrored border)."""
-    w = np.array(gaussian_weights(sigma))
+    halo = gaussian_radius(sigma.most if isinstance(sigma, Sized) else sigma)
 
-    def fn(a):
+    def fn(a, h, w):
+        w = np.array(gaussian_weights(sigma.of(h, w) if isinstance(sigma, Sized) else sigma))
+        cut = halo - len(w) // 2
+        a = a[cut:a.shape[0] - cut, cut:a.shape[1] - cut]
         ok = np.isfinite(a)
         den = _separable(ok.astype(float), w)
         return [_separable(np.where(ok, a, 0.0), w) / np.where(den > 1e-12, den, np.nan)]
-    return stencil(cells, len(w) // 2, fn, [value], tile=tile, value=value)
+    return stencil(cells, halo, fn, [value], tile=tile, value=value, sized=True)
 
 
 def blur3(cells: DataFrame, tile: int = 256) -> DataFrame:
@@ -267,7 +281,10 @@ def area_weights(n_in: int, n_out: int) -> np.ndarray:
 
 
 def upsample_cubic(cells: DataFrame, n: int = 192) -> DataFrame:
-    """Bicubic resampling to n x n with nodata-aware area weights, one pass along each axis."""
+    """Bicubic resampling to n x n with nodata-aware area weights, one pass along each axis.
+
+    ``w`` is the valid share under a cell; cells with hardly any are 0.
+    """
     def first(blocks, *_):
         z, m = blocks[0], blocks[0].shape[1]
         return [np.nan_to_num(z) @ _cubic(m, n).T, np.isfinite(z) @ area_weights(m, n).T]
@@ -275,9 +292,16 @@ def upsample_cubic(cells: DataFrame, n: int = 192) -> DataFrame:
     def second(blocks, *_):
         v, w, m = np.nan_to_num(blocks[0]), np.nan_to_num(blocks[1]), blocks[0].shape[1]
         v, w = v @ _cubic(m, n).T, w @ area_weights(m, n).T
-        return [np.where(w < 1e-3, 0.0, v / np.maximum(w, 1e-6))]
+        return [np.where(w < 1e-3, 0.0, v / np.maximum(w, 1e-6)), w]
+
+    return along(along(cells, "col", first, ["z"], ["v", "w"]), "row", second, ["v", "w"], ["z", "w"]).drop("_h", "_w")
+
 
-    return along(along(cells, "col", first, ["z"], ["v", "w"]), "row", second, ["v", "w"], ["z"]).drop("_h", "_w")
+def upsample_smoothed(cells: DataFrame, n: int = 192) -> DataFrame:
+    """``upsample_cubic`` with a light smoothing that leaves the cells without data at 0."""
+    up = materialise(upsample_cubic(cells, n), "upsampled")
+    smooth = blur3(up).join(up.select("raster_id", "row", "col", "w"), ["raster_id", "row", "col"])
+    return smooth.select("raster_id", "row", "col", F.when(c("w") < 1e-3, 0.0).otherwise(c("z")).alias("z"))
 
 
 # ------------------------------------------------------------ template search

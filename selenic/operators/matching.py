@@ -16,6 +16,7 @@ c, lit = F.col, F.lit
 # fixed values of the matcher
 RATIO, MIN_COSINE, KEYPOINTS = 0.8, 0.5, 400
 INLIER_PX = 3.0
+MAX_DRAWS = 5000
 
 
 def top_keypoints(kps: DataFrame, keys: list[str], k: int = KEYPOINTS, response: str = "response", tie: str = "kp_id") -> DataFrame:
@@ -121,14 +122,15 @@ H = [f"h{i}" for i in range(9)]
 H_SCHEMA = ", ".join(f"{h} double" for h in H)
 
 
-def sample_hypotheses(corr: DataFrame, buckets: int = 64, rounds: int = 4) -> DataFrame:
+def sample_hypotheses(corr: DataFrame, buckets: int = 64, rounds: int = 4, start: int = 0) -> DataFrame:
     """Homographies from minimal samples ``(pair_id, hyp_id, h0..h8)``.
 
     Points are dealt into buckets by hash, four per bucket make a sample: up to
-    ``buckets * rounds`` draws per pair, repeatable, and no point list is gathered.
+    ``buckets * rounds`` draws per pair, repeatable, and no point list is gathered. ``start``
+    is the first round's number.
     """
     n = corr.groupBy("pair_id").agg(F.count("*").alias("_n"))
-    x = corr.join(n, "pair_id").where("_n >= 4").withColumn("_seed", F.explode(F.sequence(lit(0), lit(rounds - 1))))
+    x = corr.join(n, "pair_id").where("_n >= 4").withColumn("_seed", F.explode(F.sequence(lit(start), lit(start + rounds - 1))))
     x = x.withColumn("_draw", F.xxhash64("point_id", "_seed"))
     x = x.withColumn("_bucket", F.pmod(F.xxhash64("_draw", lit(17)), F.least(lit(buckets), F.floor(c("_n") / 4))).cast("int"))
     four = top_k(x, ["pair_id", "_seed", "_bucket"], ["_draw", "point_id"], 4)
@@ -159,7 +161,7 @@ def _solve_samples(batches):
 def score_homographies(corr: DataFrame, hyps: DataFrame, px: float = INLIER_PX) -> DataFrame:
     """Inliers per candidate homography ``(pair_id, hyp_id)``.
 
-    The candidates of a pair, a few hundred at most, travel as one array; the counts are
+    The candidates of a pair, bounded by the draws of a pass, travel as one array; the counts are
     partially aggregated next to the scan, so points times candidates is never shuffled.
     """
     packed = hyps.groupBy("pair_id").agg(F.collect_list(F.struct("hyp_id", *H)).alias("_h"))
@@ -191,18 +193,37 @@ def refit(inliers: DataFrame, scale: float = 1024.0) -> DataFrame:
     return sums.mapInPandas(solve, f"pair_id {inliers.schema['pair_id'].dataType.simpleString()}, {H_SCHEMA}")
 
 
-def homography_vote(corr: DataFrame, buckets: int = 64, rounds: int = 4, px: float = INLIER_PX) -> DataFrame:
+def homography_vote(corr: DataFrame, buckets: int = 64, rounds: int = 4, px: float = INLIER_PX, confidence: float = 0.99,
+                    max_draws: int = MAX_DRAWS) -> DataFrame:
     """Verified correspondences: the best sampled homography per pair, refitted on its
-    inliers, with residual and inlier flag for every candidate."""
-    hyps = materialise(sample_hypotheses(corr, buckets, rounds), "hypotheses")
-    votes = score_homographies(corr, hyps, px)
-    best = votes.groupBy("pair_id").agg(F.max_by("hyp_id", F.struct("inliers", (-c("hyp_id")).alias("k"))).alias("hyp_id"))
-    model = hyps.join(best, ["pair_id", "hyp_id"]).select("pair_id", *H)
+    inliers, with residual and inlier flag for every candidate.
+
+    Draws go on, four times as many rounds each time, for the pairs whose draws are fewer
+    than the best share so far asks for at ``confidence``, up to ``max_draws`` a pair.
+    """
+    size = corr.groupBy("pair_id").agg(F.count("*").alias("n")).where("n >= 4")
+    size = size.withColumn("_each", F.least(lit(buckets), F.floor(c("n") / 4)))
+    active, best, start = size.select("pair_id"), None, 0
+    while True:
+        hyps = materialise(sample_hypotheses(corr.join(active, "pair_id", "left_semi"), buckets, rounds, start), "hypotheses")
+        votes = score_homographies(corr, hyps, px).join(hyps, ["pair_id", "hyp_id"])
+        if best is not None:
+            votes = votes.unionByName(best)
+        top = F.max_by(F.struct("hyp_id", "inliers", *H), F.struct("inliers", (-c("hyp_id")).alias("k")))
+        best = materialise(votes.groupBy("pair_id").agg(top.alias("_b")).select("pair_id", "_b.*"), "models")
+        start += rounds
+        drawn = F.least(c("_each") * start, lit(max_draws))
+        share = F.coalesce(c("inliers") / c("n"), lit(0.0))
+        active = size.join(best, "pair_id", "left").where(drawn < F.least(lit(max_draws), geo.ransac_budget(share, confidence))).select("pair_id")
+        if start >= max_draws or active.isEmpty():
+            break
+        rounds = min(3 * start, max_draws - start)
+    model = best.select("pair_id", *H)
 
     def judged(m, size):
         res = geo.residual([c(h) for h in H], c("sx"), c("sy"), c("rx"), c("ry"))
         return corr.join(m, "pair_id", "left").withColumn("residual", res).withColumn("inlier", F.coalesce(c("residual") < size, lit(False)))
-    fitted = refit(judged(materialise(model, "models"), px).where("inlier").drop(*H))
+    fitted = refit(judged(model, px).where("inlier").drop(*H))
     return judged(fitted, px)
 
 

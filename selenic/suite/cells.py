@@ -423,4 +423,4 @@ def _(inp):
 
 @query("til_05_upsample_cubic")
 def _(inp):
-    return kernels.blur3(kernels.upsample_cubic(inp.fx("heights"), 96)).withColumn("z", r("z"))
+    return kernels.upsample_smoothed(inp.fx("heights"), 96).withColumn("z", r("z"))
