@@ -369,7 +369,16 @@ def _(inp):
     return ops.densest_window(sat, req).withColumn("valid_fraction", r("valid_fraction"))
 
 
-@query("til_01_inpaint")
+@query("til_01_inpaint", """
+WITH RECURSIVE d AS (SELECT raster_id, max(row) + 1 AS h, max(col) + 1 AS w FROM {fx:heights} GROUP BY 1),
+v AS (SELECT raster_id, row, col, z FROM {fx:heights} WHERE z IS NOT NULL),
+frame AS (SELECT raster_id, row, col FROM d, LATERAL (SELECT unnest(range(0, h)) AS row) a, LATERAL (SELECT unnest(range(0, w)) AS col) b),
+hole AS MATERIALIZED (SELECT f.raster_id, f.row, f.col, min(abs(f.row - v.row) + abs(f.col - v.col)) AS k FROM (
+  SELECT * FROM frame ANTI JOIN v USING (raster_id, row, col)) f JOIN v ON v.raster_id = f.raster_id GROUP BY 1, 2, 3),
+ring AS (SELECT raster_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, z, CAST(0 AS BIGINT) AS k FROM v
+  UNION ALL SELECT h.raster_id, h.row, h.col, avg(r.z), h.k FROM ring r JOIN hole h ON h.raster_id = r.raster_id AND h.k = r.k + 1
+    AND abs(h.row - r.row) + abs(h.col - r.col) = 1 GROUP BY h.raster_id, h.row, h.col, h.k)
+SELECT c.raster_id, c.row, c.col, round(coalesce(ring.z, 0), 6) + 0.0 AS z FROM {fx:heights} c LEFT JOIN ring ON ring.raster_id = c.raster_id AND ring.row = c.row AND ring.col = c.col""")
 def _(inp):
     return kernels.inpaint(inp.fx("heights")).withColumn("z", r("z"))
 
