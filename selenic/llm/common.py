@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,13 +32,25 @@ def settle(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             base = tempfile.mkdtemp(prefix="selenic-llm-")
         sc.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of settled steps.
+
+    It does so once their plans are collected; the events of a step that has just ended
+    still hold its plan for a moment.
+    """
+    for _ in range(2):
+        time.sleep(0.5)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

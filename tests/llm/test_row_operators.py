@@ -33,9 +33,10 @@ def shingles(t):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [200_000, 20])
+def test_components(spark, part):
     edges = [(1, 2), (2, 3), (9, 8), (3, 1), (5, 5), *[(100 + i, 101 + i) for i in range(40)], *[(200, 300 + i) for i in range(50)]]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), part=part).collect()}
     want = smallest({x for e in edges for x in e}, edges)
     assert got == {k: v for k, v in want.items() if k != 5}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0

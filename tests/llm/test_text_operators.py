@@ -114,7 +114,7 @@ def plain_pii(t: str) -> list[tuple[int, int, int]]:
 
 
 HARD = ["a@b@c.com", "x@y..z a@b.c.", "@a.b", "a@@b.c", "1.2.3.4.5.6.7.8", "1.2.3.999 01.002.3.4", "4041 8949-7460 8795", "+1 (988) 555-2485 +1", "+12",
-        "é a.b@c.de\n ñ 4444333322221111 é", "0000.1.1.1", "1" * 5000 + ".1.1.1", "a@b.c@d.e", "+1+1234567890", "ab-@x-.y--"]
+        "é a.b@c.de\n ñ 4444333322221111 é", "0000.1.1.1", "1" * 4000 + ".1.1.1", "a@b.c@d.e", "+1+1234567890", "ab-@x-.y--"]
 
 
 def test_base_spans():
