@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selenic.llm.common import grouped, mix64, runs, settle, small_batches
+from selenic.llm.common import free, grouped, mix64, runs, settle, small_batches
 from selenic.llm.suffixes import permuted_common, suffix_array
 
 LENGTH = 50
@@ -54,6 +55,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables
 
 
+def short(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The high 32 bits of a key and those of its bucket; keys that differ in the rest only cost work."""
+    return key & np.uint64(0xFFFFFFFF00000000 | buckets - 1)
+
+
 def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text index, start, number of windows, key) of each run of windows with one key."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -92,6 +98,10 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+def _high(key: np.ndarray) -> bytes:
+    return (key >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def _texts(b: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in b.column(column).cast(pa.binary()).to_pylist()]
 
@@ -108,6 +118,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         first: dict[bytes, int] = {}
         only = [i for i, t in enumerate(texts) if first.setdefault(t, i) == i]
         text, _, _, key = pieces([texts[i] for i in only])
+        key = short(key, buckets)
         doc = ids[np.array(only, dtype=np.int64)][text]
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
@@ -123,7 +134,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         order = np.argsort(bucket, kind="stable")
         k, d, s, bucket = key[lead][order], doc[lead][order], shared[lead][order], bucket[order]
         ends = _cuts(bucket)
-        rows = [(int(bucket[x]), k[x:y].tobytes(), d[x:y].astype("<i8").tobytes(), s[x:y].astype(np.uint8).tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        rows = [(int(bucket[x]), _high(k[x:y]), d[x:y].astype("<i8").tobytes(), s[x:y].astype(np.uint8).tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
         k, d = key[shared & ~lead], doc[shared & ~lead]
         if len(k):
             rows.append((int(d[0] % buckets), k.tobytes(), d.astype("<i8").tobytes(), b""))
@@ -142,7 +153,8 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, d, f in zip(keys, docs, flags, strict=True):
             if not f:
                 yield out(np.frombuffer(d, "<i8"), np.frombuffer(k, "<u8").astype(np.uint64))
-        key = np.frombuffer(b"".join(k for k, f in zip(keys, flags, strict=True) if f), "<u8").astype(np.uint64)
+        key = np.frombuffer(b"".join(k for k, f in zip(keys, flags, strict=True) if f), "<u4").astype(np.uint64) << np.uint64(32)
+        key |= np.uint64(g.column("bucket")[0].as_py())
         doc = np.frombuffer(b"".join(d for d, f in zip(docs, flags, strict=True) if f), "<i8")
         flag = np.frombuffer(b"".join(flags), np.uint8).astype(bool)
         order = np.argsort(key, kind="stable")
@@ -160,6 +172,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), _texts(b)
         wanted = [np.frombuffer(x, "<i8").view(np.uint64) for x in b.column("keys").to_pylist()]
         text, start, count, key = pieces(texts)
+        key = short(key, buckets)
         keep = np.zeros(len(key), dtype=bool)
         for i, (x, y) in enumerate(zip(*(np.searchsorted(text, np.arange(len(texts)), side=s) for s in ("left", "right")), strict=True)):
             keep[x:y] = np.isin(key[x:y], wanted[i])
@@ -179,7 +192,8 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         by_shard: dict[int, list[tuple[bytes, int, int]]] = {}
         for piece, (doc, starts, k) in least.items():
             by_shard.setdefault(k, []).extend((piece, doc, s) for s in starts)
-        rows = [(k, b"\xff".join(p for p, _, _ in v), np.array([x[1:] for x in v], "<i8").tobytes()) for k, v in by_shard.items()]
+        pack = zstandard.ZstdCompressor(level=1).compress
+        rows = [(k, pack(b"\xff".join(p for p, _, _ in v)), np.array([x[1:] for x in v], "<i8").tobytes()) for k, v in by_shard.items()]
         if spans:
             rows.append((spans[0][0] % buckets, b"", np.array(spans, "<i8").tobytes()))
         if rows:
@@ -213,7 +227,7 @@ def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(spans[:, i].astype(np.int64)) for i in range(3)], ["doc_id", "start", "stop"])
 
     for g in grouped(batches, ["bucket"]):
-        texts, docs = g.column("pieces").to_pylist(), g.column("docs").to_pylist()
+        texts, docs, unpack = g.column("pieces").to_pylist(), g.column("docs").to_pylist(), zstandard.ZstdDecompressor().decompress
         index: dict[bytes, int] = {}
         of, doc, start = [], [], []
         for t, d in zip(texts, docs, strict=True):
@@ -221,7 +235,7 @@ def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(np.frombuffer(d, "<i8").reshape(-1, 3))
                 continue
             held = np.frombuffer(d, "<i8").reshape(-1, 2)
-            of += [index.setdefault(p, len(index)) for p in t.split(b"\xff")]
+            of += [index.setdefault(p, len(index)) for p in unpack(t).split(b"\xff")]
             doc.append(held[:, 0])
             start.append(held[:, 1])
         if not index:
@@ -272,18 +286,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = reps.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(64, 1 << (int(total) // SHARD_BYTES).bit_length())
 
+    wanted = settle(_shared_by_text(known, reps, buckets))
+    free(spark)
+    spans = settle(_spans(known, wanted, buckets))
+    free(spark)
+    verdict = reps.join(spans, "doc_id", "left").select("doc_id", "spans", F.lit(True).alias("rep"))
+    out = docs.join(verdict, "doc_id", "left")
+    copy = F.col("rep").isNull() & (F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text", copy.alias("copy"), "spans")
+
+
+def _shared_by_text(known: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
     keyed = known.mapInArrow(lambda x: _key_rows(x, buckets), "bucket long, keys binary, docs binary, shared binary")
     keyed = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "doc_id long, key long")
     keyed = keyed.join(reps.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    wanted = settle(keyed.mapInArrow(_pack_keys, "doc_id long, keys binary"))
+    return keyed.mapInArrow(_pack_keys, "doc_id long, keys binary")
 
+
+def _spans(known: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     found = known.join(wanted, "doc_id").mapInArrow(lambda x: _piece_rows(x, buckets), "bucket long, pieces binary, docs binary")
     spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shard_spans, "doc_id long, start long, stop long")
-    spans = settle(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    verdict = reps.join(spans, "doc_id", "left").select("doc_id", "spans", F.lit(True).alias("rep"))
-    out = docs.join(verdict, "doc_id", "left")
-    copy = F.col("rep").isNull() & (F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "text", copy.alias("copy"), "spans")
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _pack_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
