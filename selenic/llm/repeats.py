@@ -115,8 +115,11 @@ def _key_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
     """Keys by bucket: one document for each key of the batch; keys of two texts of the batch are decided at once."""
     for b in batches:
         ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), _texts(b)
-        first: dict[bytes, int] = {}
-        only = [i for i, t in enumerate(texts) if first.setdefault(t, i) == i]
+        least: dict[bytes, int] = {}
+        for i, t in enumerate(texts):
+            if ids[i] < ids[least.setdefault(t, i)]:
+                least[t] = i
+        only = list(least.values())  # the smallest id of equal texts, which alone may stand for them
         text, _, _, key = pieces([texts[i] for i in only])
         key = short(key, buckets)
         doc = ids[np.array(only, dtype=np.int64)][text]

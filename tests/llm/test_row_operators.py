@@ -151,6 +151,16 @@ def test_repeats(spark, edge_docs, no_docs):
     assert repeats.remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_with_copies_in_descending_order(spark):
+    """A copy with a larger id before the smallest one, in one batch: the smallest still gets its keys."""
+    copy, other = prose(1, 30) + " " + prose(2, 40), prose(1, 30) + " " + prose(3, 40)
+    rows = [(10, copy), (7, copy), (5, copy), (8, prose(2, 40) + " " + prose(4, 20)), (2, other)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
+        assert got == {(i, *v) for (i, _), v in plain_repeats(order).items()}
+
+
 URLS = [None, "", "no scheme", "http://A.Example.ORG/es/1", "https://x.example.org/en/12?q=1", "https://example.org", "http://a.com/fr/x", "http://b.com/de/porn",
         "http://c.net/porn", "http://c.net/porno", "http://c.net/casino-bet", "http://c.net/casino/casino", "http://notorg/x", "http://c.net?x=://d.org/", "HTTP://C.NET/XXX/",
         "https://m.ads-track.example.net/en/1", "http://d.net/sex\nads"]
