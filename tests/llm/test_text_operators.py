@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -182,6 +183,33 @@ def test_leaks(spark, edge_docs, no_docs):
     assert decontam.leaks(no_docs, bench).count() == 0 and decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [512, 25])
+def test_leaks_beyond_the_rank(spark, monkeypatch, most):
+    """Many items of words of their own: every copy is found, as by the cosine of the whole vectors, at a rank far below their number."""
+    monkeypatch.setattr(decontam, "PASSAGES", most)
+    items = [(i, " ".join(f"x{i}y{k}" for k in range(24)) + ". " + " ".join(f"x{i}z{k}" for k in range(4)) + ".") for i in range(60)]
+    docs = [(100 + i, prose(i, 40) + " " + t + " " + prose(500 + i, 40)) for i, t in items] + [(i, prose(900 + i, 90)) for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), rank=8).collect()}
+    assert got == {(100 + i, i) for i, _ in items}
+
+
+def test_no_pair_is_lost_by_the_subspace():
+    """With few vectors, and none for the residuals, a copy still reaches the check; completed vectors hold the passages."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, prose(3000 + i, 30, words)) for i in range(300)]
+    items = decontam.Items(rows, np.ones(decontam.FEATURES))
+    few = np.linalg.qr(np.random.default_rng(0).standard_normal((len(items.vocabulary), 5)))[0].astype(np.float32)
+    table = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    full = decontam.completed(items, few)
+    own = decontam._dense(items, items.passages)
+    assert np.allclose(full.T @ full, np.eye(full.shape[1]), atol=1e-3)
+    assert (np.linalg.norm(own @ full, axis=1) >= 0.97 * np.linalg.norm(own, axis=1)).all()
+    for v in (few, full):
+        got = {(d, i) for b in decontam._search([table], items, v) for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert {(i, i) for i, _ in rows} <= got
+
+
 def test_singular_vectors(spark):
     """The subspace holds the benchmark's passages as well as the best one of its rank, nearly."""
     items = decontam.Items([(i, prose(i, 40)) for i in range(30)], np.ones(decontam.FEATURES))
