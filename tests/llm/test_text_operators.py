@@ -210,6 +210,19 @@ def test_no_pair_is_lost_by_the_subspace():
         assert {(i, i) for i, _ in rows} <= got
 
 
+def test_common_words_among_rare_ones_are_searched():
+    """An item with 6 % of a passage's squared weight reaches a cosine of 0.24."""
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(64)]
+    idf = np.full(decontam.FEATURES, 6.13)
+    for _, h, _ in decontam._each(decontam.words_of([" ".join(common)])):
+        idf[decontam.features(h)] = 2.0
+    items = decontam.Items([(1, " ".join(common))], idf)
+    basis = decontam.completed(items, np.eye(len(items.vocabulary), 1, dtype=np.float32))
+    table = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([" ".join(rare[:34] + common + rare[34:])])], ["doc_id", "text"])
+    got = [tuple(x[c][0].as_py() for c in ("doc_id", "item_id", "cosine")) for x in decontam._search([table], items, basis)]
+    assert got == [(5, 1, pytest.approx(0.24, abs=0.01))]
+
+
 def test_singular_vectors(spark):
     """The subspace holds the benchmark's passages as well as the best one of its rank, nearly."""
     items = decontam.Items([(i, prose(i, 40)) for i in range(30)], np.ones(decontam.FEATURES))
