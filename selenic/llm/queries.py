@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from selenic.llm import decontam, jaccard, langid, neardup, packing, pii, repeats, sharding, tokens, urls
+from selenic.llm import decontam, jaccard, langid, merkle, neardup, negatives, packing, pii, repeats, sharding, tokens, toxicity, urls
 from selenic.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ def induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_latent_decontamination")
 def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_nb_scaled_toxicity")
+def nb_scaled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op13_merkle_manifest", merkle.ORACLE)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(merkle.manifest(read_table(spark, sf_dir, "documents"), merkle.tampered()))
+
+
+@query("op12_maximus_negatives", negatives.ORACLE)
+def maximus_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read_table(spark, sf_dir, "embeddings"), label=negatives.relabelled())
