@@ -4,15 +4,16 @@ A text is lower-cased, everything but letters and digits becomes a space, runs o
 one, and a space stands at both ends. Its n-grams of ``ORDERS`` characters are hashed into
 ``FEATURES`` slots; a text has a slot or has it not, so its length does not dilute a hit.
 
-Training, on labelled rows only:
+Training, on labelled rows only, about ``sample`` of them at most, drawn by a hash of the id (before
+the join with the texts, so no others are shuffled):
 
-1. The texts with each slot are counted by label over all labelled rows, within the tasks first.
+1. The texts with each slot are counted by label, within the tasks first; partial counts travel packed.
 2. The log-count ratio of slot f is r = log((p + alpha) / (n + alpha)), p and n being the shares
    of the two labels' texts that have it. Slots in fewer than ``MIN_TEXTS`` texts stay out, and of
    the rest the ``KEPT`` whose counts differ most for their size (a chi-square score) take part.
-3. A logistic regression on r of the slots present is fitted by gradient steps with momentum on
-   about ``sample`` labelled rows, drawn by a hash of the id, whose kept slots meet in the driver
-   (at most ``sample`` times ``MAX_SLOTS`` numbers on average, checked). Texts count alike.
+3. A logistic regression on r of the slots present is fitted by gradient steps with momentum; the
+   kept slots of the drawn rows meet in the driver (at most ``sample`` times ``MAX_SLOTS`` numbers,
+   checked). Texts count alike.
 
 The model is one weight for each kept slot, broadcast (``FEATURES`` words at most). Scoring sees
 the text alone; a text is read in windows that overlap by the longest order less one, which gives
@@ -24,6 +25,7 @@ learned from. Equal texts get equal scores; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selenic.llm.common import settle
+
 FEATURES = 1 << 20
 ORDERS = (3, 4, 5)
 MIN_TEXTS = 3
 KEPT = 5_000
-SAMPLE = 20_000
-MAX_SLOTS = 2_000
+SAMPLE = 30_000
+MAX_SLOTS = 500
 WINDOW = 1 << 18
+PARTS = 16
 THRESHOLD = 0.3
 
 _plain: np.ndarray | None = None
@@ -178,36 +183,75 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, text, y) of the documents that one label, 0 or 1, stands for."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(text, y) of the documents that one label, 0 or 1, stands for; about ``sample`` of them at most."""
     y = F.col(label_col).cast("int")
     one = labels.select(F.col(id_col).alias("id"), y.alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
-    one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").select("id", "y")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(one, "id")
+    share = min(1.0, sample / max(one.count(), 1))
+    drawn = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxicity sample")), F.lit(1_000_000)) < share * 1_000_000
+    one = one.where(drawn).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").select("id", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & drawn)
+    return texts.join(one, "id").select("text", "y")
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, alpha: float = 1.0, ridge: float = 1.0) -> Model:
-    """Fit on rows of (id, text, y)."""
-    spark = rows.sparkSession
+def pack(has: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(label, part, packed slots and counts) of texts by label and slot."""
+    width = has.shape[1] // PARTS
+    for y in (0, 1):
+        for k in range(PARTS):
+            part = has[y, k * width:(k + 1) * width]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield y, k, zlib.compress(at.astype("<u4").tobytes() + part[at].astype("<u4").tobytes(), 1)
+
+
+def unpack(has: np.ndarray, y: int, k: int, packed: bytes) -> None:
+    """Add packed counts."""
+    at, n = np.frombuffer(zlib.decompress(packed), "<u4").reshape(2, -1)
+    has[y, k * (has.shape[1] // PARTS) + at] += n
 
+
+def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(texts with each slot by label, texts by label) of rows (text, y)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, has, n = Seen(), np.zeros((2, FEATURES), dtype=np.int32), [0, 0]
+        seen, has, n = Seen(), np.zeros((2, FEATURES), dtype=np.int64), [0, 0]
         for b in batches:
             for t, y in zip(b.column(0), b.column(1), strict=True):
                 has[y.as_py(), seen.of(t.as_py())] += 1
                 n[y.as_py()] += 1
-        y, slot = np.nonzero(has)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(y, [0, 1]), pa.int32()), pa.array(np.append(slot, [-1, -1]), pa.int32()),
-                                          pa.array(np.append(has[y, slot], n), pa.int64())], ["y", "slot", "n"])
-
-    counted = rows.select("text", "y").mapInArrow(count, "y int, slot int, n long").groupBy("slot").pivot("y", [0, 1]).agg(F.sum("n"))
-    counted = counted.select("slot", F.coalesce("0", F.lit(0)).alias("n0"), F.coalesce("1", F.lit(0)).alias("n1"))
-    # slots by FEATURES at most: a bounded table
-    table = counted.where(F.col("n0") + F.col("n1") >= MIN_TEXTS).unionByName(counted.where("slot = -1 AND n0 + n1 < " + str(MIN_TEXTS))).toPandas()
-    has = np.zeros((2, FEATURES))
-    whole = table["slot"] == -1
-    texts = np.array([table.loc[whole, "n0"].sum(), table.loc[whole, "n1"].sum()], dtype=float)
-    has[0, table.loc[~whole, "slot"]], has[1, table.loc[~whole, "slot"]] = table.loc[~whole, "n0"], table.loc[~whole, "n1"]
+        out = [*pack(has), *((y, -1, n[y].to_bytes(8, "little")) for y in (0, 1))]
+        y, part, packed = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["y", "part", "packed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has, n = np.zeros((2, FEATURES), dtype=np.int64), [0, 0]
+        for b in batches:
+            for y, k, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k < 0:
+                    n[y] += int.from_bytes(packed, "little")
+                else:
+                    unpack(has, y, k, packed)
+        out = [*pack(has), *((y, -1, n[y].to_bytes(8, "little")) for y in (0, 1))]
+        y, part, packed = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["y", "part", "packed"])
+
+    kind = "y int, part int, packed binary"
+    # a part is added up in one task, so each slot comes once: a table of 2 x FEATURES counts at most
+    total = rows.select("text", "y").mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(add, kind).collect()
+    has, n = np.zeros((2, FEATURES)), np.zeros(2)
+    for r in total:
+        if r["part"] < 0:
+            n[r["y"]] += int.from_bytes(r["packed"], "little")
+        else:
+            unpack(has, r["y"], r["part"], r["packed"])
+    return has, n
+
+
+def train(rows: DataFrame, alpha: float = 1.0, ridge: float = 1.0) -> Model:
+    """Fit on rows of (text, y), a bounded number of them (see ``labelled``)."""
+    spark = rows.sparkSession
+    rows = settle(rows)
+    has, texts = counts(rows)
     if not texts.all():
         share = texts[1] / texts.sum() if texts.sum() else 0.0
         return Model(np.zeros(0), np.zeros(0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
@@ -223,15 +267,14 @@ def train(rows: DataFrame, sample: int = SAMPLE, alpha: float = 1.0, ridge: floa
             kept = [np.sort(x[x >= 0]).astype("<i4").tobytes() for x in kept]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(kept, pa.binary())], ["y", "slots"])
 
-    share = min(1.0, sample / texts.sum())
-    drawn = F.pmod(F.xxhash64("id", F.lit("toxicity sample")), F.lit(1_000_000)) < share * 1_000_000
-    part = rows.where(drawn).select("text", "y").mapInArrow(features, "y int, slots binary").toArrow()
-    if part["slots"].nbytes > 4 * MAX_SLOTS * sample:
-        raise ValueError("the sample has too many slots for the driver; lower sample or KEPT")
-    raw = part["slots"].to_pylist()
-    index = np.frombuffer(b"".join(raw), "<i4")
-    starts = np.cumsum([0, *(len(x) // 4 for x in raw)])[:-1]
-    weight, intercept = fit_logistic(starts, index, part["y"].to_numpy().astype(float), r, ridge)
+    part = settle(rows.select("text", "y").mapInArrow(features, "y int, slots binary"))
+    size = part.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
+    if size > 4 * MAX_SLOTS * SAMPLE:
+        raise ValueError("the drawn rows have too many slots for the driver; lower sample or KEPT")
+    drawn = sorted((r["y"], bytes(r["slots"])) for r in part.collect())  # the same order and so the same sums in each run
+    index = np.frombuffer(b"".join(x for _, x in drawn), "<i4")
+    starts = np.cumsum([0, *(len(x) // 4 for _, x in drawn)])[:-1]
+    weight, intercept = fit_logistic(starts, index, np.array([y for y, _ in drawn], dtype=float), r, ridge)
     return Model(at, weight, intercept)
 
 
@@ -251,7 +294,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> DataFrame:
     """One row per document: id, held_out, score, predicted; the held-out quarter is never learned from."""
-    model = train(labelled(docs, labels.where(~held_out(F.col(id_col))), id_col, text_col, label_col))
+    model = train(labelled(docs, labels.where(~held_out(F.col(id_col))), SAMPLE, id_col, text_col, label_col))
     rows = predict(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, "_text", "_score")
     return rows.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), F.col("_score").alias("score"),
                        (F.col("_score") >= threshold).cast("int").alias("predicted"))
