@@ -52,7 +52,8 @@ def parse_labels(raw: DataFrame, block: str | None = None) -> DataFrame:
     offsets = F.regexp_extract_all(xml, lit('<offset unit="byte">(\\d+)</offset>'), lit(1))
     code = F.coalesce(_first("<data_type[^>]*>([^<]+)", xml), lit("UnsignedByte"))
     dtype = F.create_map(*[lit(x) for kv in DTYPES.items() for x in kv])
-    df = raw.withColumn("product_id", text.strip_extension(text.basename(c("path"))))
+    # a source that knows the id keeps it, so that predicates on it reach the source
+    df = raw if "product_id" in raw.columns else raw.withColumn("product_id", text.strip_extension(text.basename(c("path"))))
     df = df.withColumns(raw_pts).withColumn("footprint", F.struct(*[pts[n].alias(n) for n in geo.CORNERS]))
     df = df.withColumns({
         "center": geo.footprint_center(c("footprint")),
@@ -70,8 +71,16 @@ def parse_labels(raw: DataFrame, block: str | None = None) -> DataFrame:
                          .when(empty, "neither raster size nor footprint")).drop("xml", *raw_pts)
 
 
-def read_labels(spark: SparkSession, path: str, block: str | None = None) -> DataFrame:
-    """Catalog of every XML label below a folder."""
+def read_labels(spark: SparkSession, path: str, block: str | None = None, pruned: bool = False) -> DataFrame:
+    """Catalog of every XML label below a folder.
+
+    ``pruned`` lists the folder on the driver and opens only labels whose product_id satisfies the
+    query's predicates; without it Spark's text reader opens all of them, on any file system it knows.
+    """
+    if pruned:
+        from selenic.sources import datasource
+
+        return parse_labels(datasource.read_heads(spark, path, "*.xml").select("path", "product_id", c("text").alias("xml")), block)
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(path, wholetext=True)
            .select(c("_metadata.file_path").alias("path"), c("value").alias("xml")))
     return parse_labels(raw, block)

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from selenic.sources import datasource
 from selenic.sources.labels import STRIP_HEADER_BYTES, parse_strip_headers
 
-c, lit = F.col, F.lit
-
-
-def _open(path: str):
-    """A seekable stream for any path a cluster uses (local, hdfs, object store)."""
-    from pyarrow import fs
-
-    if "://" not in path:
-        path = "file://" + path.removeprefix("file:")
-    system, name = fs.FileSystem.from_uri(path)
-    return system.open_input_file(name)
+c = F.col
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -28,60 +17,24 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
             .select("path", c("length").alias("size"), c("modificationTime").alias("mtime")))
 
 
-def read_attached_headers(spark: SparkSession, path: str, glob: str = "*.{IMG,img}") -> DataFrame:
+def read_attached_headers(spark: SparkSession, path: str, glob: str = "*.IMG|*.img") -> DataFrame:
     """Strip catalog from the fixed-size text header at the front of each raster."""
-    def heads(batches):
-        for pdf in batches:
-            out = []
-            for p in pdf["path"]:
-                with _open(p) as f:
-                    out.append(f.read(STRIP_HEADER_BYTES).decode("ascii", "replace"))
-            yield pd.DataFrame({"path": pdf["path"], "text": out})
-    files = list_files(spark, path, glob).select("path")
-    return parse_strip_headers(files.repartition("path").mapInPandas(heads, "path string, text string"))
-
-
-def _dtype_of(code: str) -> np.dtype:
-    return np.dtype(code)
+    return parse_strip_headers(datasource.read_heads(spark, path, glob, STRIP_HEADER_BYTES).select("path", "text"))
 
 
-def read_raster_tiles(products: DataFrame, tile: int = 256, rows_per_task: int = 256) -> DataFrame:
-    """Tile rows ``(raster_id, tile_r, tile_c, n_rows, n_cols, data)`` of raw rasters.
+def read_raster_tiles(products: DataFrame, tile: int = 256) -> DataFrame:
+    """Tile rows ``(raster_id, tile_r, tile_c, row0, col0, n_rows, n_cols, data)`` of raw rasters.
 
     ``products(raster_id, path, lines, samples, dtype, offset, missing)`` and optionally a
-    window ``r0, c0, r1, c1``. The rasters are planned as row bands of one tile height,
-    shuffled evenly over tasks; a task seeks to its band and reads nothing else. Nodata
-    becomes NULL.
+    window ``r0, c0, r1, c1``. Only the bytes of the windows, and of predicates on raster_id,
+    tile_r and tile_c, are read. Nodata becomes NULL.
     """
-    if "r0" not in products.columns:
-        products = products.withColumns({"r0": lit(0), "c0": lit(0), "r1": c("lines"), "c1": c("samples")})
-    bands = products.withColumn("tile_r", F.explode(F.sequence(F.floor(c("r0") / tile).cast("int"), F.floor((c("r1") - 1) / tile).cast("int"))))
-    bands = bands.repartition("raster_id", "tile_r")
-    ident = products.schema["raster_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            for b in pdf.itertuples():
-                kind = _dtype_of(b.dtype)
-                y0, y1 = max(b.r0, b.tile_r * tile), min(b.r1, (b.tile_r + 1) * tile)
-                with _open(b.path) as f:
-                    f.seek(b.offset + y0 * b.samples * kind.itemsize)
-                    raw = f.read((y1 - y0) * b.samples * kind.itemsize)
-                a = np.frombuffer(raw, kind).reshape(-1, b.samples).astype("float64")
-                bad = ~np.isfinite(a)
-                if b.missing is not None and np.isfinite(b.missing):
-                    bad |= a == b.missing
-                if kind.kind in "iu":
-                    bad |= a <= -32000
-                a = np.where(bad, np.nan, a)
-                rows = []
-                for tc in range(b.c0 // tile, (b.c1 - 1) // tile + 1):
-                    x0, x1 = max(b.c0, tc * tile), min(b.c1, (tc + 1) * tile)
-                    block = a[:, x0:x1]
-                    rows.append((b.raster_id, b.tile_r, tc, y0, x0, block.shape[0], block.shape[1],
-                                 [None if np.isnan(v) else v for v in block.ravel()]))
-                yield pd.DataFrame(rows, columns=["raster_id", "tile_r", "tile_c", "row0", "col0", "n_rows", "n_cols", "data"])
-    return bands.mapInPandas(run, f"raster_id {ident}, tile_r int, tile_c int, row0 int, col0 int, n_rows int, n_cols int, data array<float>")
+    return datasource.read_catalog(products, "tiles", tile=tile)
+
+
+def read_raster_cells(products: DataFrame) -> DataFrame:
+    """Cells ``(raster_id, row, col, z)``; predicates on raster_id, row and col decide what is read."""
+    return datasource.read_catalog(products, "cells")
 
 
 def tiles_to_cells(tiles: DataFrame) -> DataFrame:
@@ -90,35 +43,15 @@ def tiles_to_cells(tiles: DataFrame) -> DataFrame:
                     (c("col0") + c("_i") % c("n_cols")).cast("int").alias("col"), c("z").cast("double").alias("z"))
 
 
-def read_spectra(cubes: DataFrame, lines_per_task: int = 16) -> DataFrame:
+def read_spectra(cubes: DataFrame) -> DataFrame:
     """One spectrum per pixel ``(cube_id, line, sample, refl)`` of band-sequential cubes.
 
     ``cubes(cube_id, path, bands, lines, samples, dtype, offset)``, optionally with a window
-    and strides ``row_step, col_step``. A task reads its lines of every band.
+    and strides ``row_step, col_step``. Predicates on cube_id, line and sample decide what is read.
     """
-    if "r0" not in cubes.columns:
-        cubes = cubes.withColumns({"r0": lit(0), "c0": lit(0), "r1": c("lines"), "c1": c("samples")})
-    if "row_step" not in cubes.columns:
-        cubes = cubes.withColumns({"row_step": lit(1), "col_step": lit(1)})
-    # a line band starts on a multiple of the row step
-    span = c("row_step") * lines_per_task
-    work = cubes.withColumn("first", F.explode(F.sequence(c("r0"), c("r1") - 1, span.cast("int"))))
-    work = work.repartition("cube_id", "first")
-    ident = cubes.schema["cube_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            for b in pdf.itertuples():
-                kind = _dtype_of(b.dtype)
-                y = np.arange(b.first, min(b.r1, b.first + b.row_step * lines_per_task), b.row_step)
-                x = np.arange(b.c0, b.c1, b.col_step)
-                cube = np.empty((b.bands, len(y), len(x)), "float32")
-                with _open(b.path) as f:
-                    for k in range(b.bands):
-                        for j, line in enumerate(y):
-                            f.seek(b.offset + ((k * b.lines + int(line)) * b.samples + b.c0) * kind.itemsize)
-                            cube[k, j] = np.frombuffer(f.read((b.c1 - b.c0) * kind.itemsize), kind)[::b.col_step]
-                yy, xx = np.meshgrid(y, x, indexing="ij")
-                yield pd.DataFrame({"cube_id": b.cube_id, "line": yy.ravel(), "sample": xx.ravel(),
-                                    "refl": list(cube.reshape(b.bands, -1).T)})
-    return work.mapInPandas(run, f"cube_id {ident}, line int, sample int, refl array<float>")
+    return datasource.read_catalog(cubes, "spectra", "cube_id")
+
+
+def read_bands(cubes: DataFrame) -> DataFrame:
+    """One row per band and line ``(cube_id, band, line, sample0, data)``; predicates on cube_id, band and line prune."""
+    return datasource.read_catalog(cubes, "bands", "cube_id")

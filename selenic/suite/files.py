@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from selenic.operators import catalog
-from selenic.session import workdir
+from selenic.session import materialise, workdir
 from selenic.sources import labels, rasters, tables
 from selenic.streaming import streams
 from selenic.suite.registry import query, r
@@ -95,6 +95,54 @@ def _(inp):
     return rasters.tiles_to_cells(rasters.read_raster_tiles(window, tile=16)).where("z is not null")
 
 
+BANDS, SIDE = 64, 10
+
+
+def write_cubes(inp):
+    """(cube_id, path, bands, lines, samples, dtype, offset): cubes of 10 x 10 spectra, band after band as float32."""
+    base = workdir(inp.spark, "cubes")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        from selenic.sources.datasource import _system
+
+        k = int(pdf["cube_id"].iat[0])
+        cube = np.zeros((BANDS, SIDE * SIDE), "<f4")
+        cube[:, (pdf["px_id"] % (SIDE * SIDE)).to_numpy()] = np.array(pdf["refl"].tolist()).T
+        system, name = _system(base)
+        system.create_dir(name, recursive=True)
+        with system.open_output_stream(f"{name}/cube_{k}.qub") as f:
+            f.write(cube.tobytes())
+        return pd.DataFrame({"cube_id": [k], "path": [f"{base}/cube_{k}.qub"]})
+
+    px = inp.fx("spectra").withColumn("cube_id", F.floor(c("px_id") / (SIDE * SIDE)))
+    made = materialise(px.groupBy("cube_id").applyInPandas(run, "cube_id long, path string"), "cube-catalog")
+    return made.withColumns({"bands": lit(BANDS), "lines": lit(SIDE), "samples": lit(SIDE), "dtype": lit("<f4"), "offset": lit(0).cast("long")})
+
+
+# spectra as the cubes hold them
+STORED = "SELECT px_id, list_transform(refl, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE)) AS refl FROM {fx:spectra}"
+
+
+@query("src_03_cube_spectra", f"""
+SELECT px_id // 100 AS cube_id, CAST(px_id % 100 // 10 AS INT) AS line, CAST(px_id % 10 AS INT) AS sample, round(list_sum(refl), 4) AS total, round(refl[3], 6) AS third
+FROM ({STORED}) s WHERE px_id // 100 <> 1 AND px_id % 100 // 10 BETWEEN 3 AND 7 AND px_id % 10 > 4""")
+def _(inp):
+    px = rasters.read_spectra(write_cubes(inp)).where("(cube_id < 1 OR cube_id > 1) AND line >= 3 AND line <= 7 AND sample > 4 AND refl[0] > 0")
+    total = F.aggregate("refl", lit(0.0), lambda s, v: s + v.cast("double"))
+    return px.select("cube_id", "line", "sample", r(total, 4).alias("total"), r(c("refl")[2].cast("double")).alias("third"))
+
+
+@query("src_03_cube_bands", f"""
+SELECT px_id // 100 AS cube_id, CAST(b AS INT) AS band, CAST(px_id % 100 // 10 AS INT) AS line, round(sum(refl[b + 1]), 4) AS total
+FROM ({STORED}) s, (SELECT unnest([5, 40]) AS b) k WHERE px_id % 100 // 10 < 4 GROUP BY 1, 2, 3""")
+def _(inp):
+    rows = rasters.read_bands(write_cubes(inp)).where("(band = 5 OR band = 40) AND line < 4")
+    rows = rows.select("cube_id", "band", "line", r(F.aggregate("data", lit(0.0), lambda s, v: s + v.cast("double")), 4).alias("total"))
+    return rows.where("total > 0")
+
+
 @query("src_08_list_files", f"SELECT concat('strip_', CAST(raster_id AS VARCHAR), '.IMG') AS name, CAST(5064 + lines * samples * 2 AS BIGINT) AS size FROM ({SIZES}) s")
 def _(inp):
     from selenic.functions import text

@@ -142,7 +142,7 @@ def test_spectra_window(spark, tmp_path):
     path.write_bytes(cube.tobytes())
     df = spark.createDataFrame([(1, str(path), 5, 20, 9, "<f4", 0, 3, 2, 17, 8, 2, 3)],
                                "cube_id int, path string, bands int, lines int, samples int, dtype string, offset long, r0 int, c0 int, r1 int, c1 int, row_step int, col_step int")
-    rows = rasters.read_spectra(df, lines_per_task=2).collect()
+    rows = rasters.read_spectra(df).collect()
     assert {(r.line, r.sample) for r in rows} == {(y, x) for y in range(3, 17, 2) for x in range(2, 8, 3)}
     assert all(np.allclose(r.refl, cube[:, r.line, r.sample]) for r in rows)
 
