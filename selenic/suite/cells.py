@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from selenic.functions import geo, predicates
 from selenic.operators import cells as ops
-from selenic.operators import kernels
+from selenic.operators import kernels, tiles
 from selenic.suite.registry import query, r
 
 c, lit = F.col, F.lit
@@ -260,13 +260,16 @@ def _(inp):
 REFL = "CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
 
 
-@query("win_05_gaussian_smooth", f"""
+SMOOTH = f"""
 WITH d AS ({DIMS}), w AS (SELECT o, exp(-0.5 * power(o / 1.2::DOUBLE, 2)) AS w FROM (SELECT unnest(range(-5, 6)) AS o) g),
 cx AS (SELECT raster_id, t, w, {REFL.format(i='t + o', n='samples')} AS src FROM d, LATERAL (SELECT unnest(range(0, samples)) AS t) g, w),
 cy AS (SELECT raster_id, t, w, {REFL.format(i='t + o', n='lines')} AS src FROM d, LATERAL (SELECT unnest(range(0, lines)) AS t) g, w),
 a AS (SELECT h.raster_id, h.row, cx.t AS col, sum(w * z) AS num, sum(w) AS den FROM {{fx:heights}} h JOIN cx ON cx.raster_id = h.raster_id AND cx.src = h.col WHERE z IS NOT NULL GROUP BY 1, 2, 3),
 b AS (SELECT a.raster_id, cy.t AS row, a.col, sum(w * num) / sum(w * den) AS z FROM a JOIN cy ON cy.raster_id = a.raster_id AND cy.src = a.row GROUP BY 1, 2, 3)
-SELECT h.raster_id, h.row, h.col, round(b.z, 6) AS z FROM {{fx:heights}} h JOIN b ON b.raster_id = h.raster_id AND b.row = h.row AND b.col = h.col""")
+SELECT h.raster_id, h.row, h.col, round(b.z, 6) AS z FROM {{fx:heights}} h JOIN b ON b.raster_id = h.raster_id AND b.row = h.row AND b.col = h.col"""
+
+
+@query("win_05_gaussian_smooth", SMOOTH)
 def _(inp):
     return kernels.gaussian_smooth(inp.fx("heights"), 1.2, tile=32).withColumn("z", r("z"))
 
@@ -433,3 +436,61 @@ def _(inp):
 @query("til_05_upsample_cubic")
 def _(inp):
     return kernels.upsample_smoothed(inp.fx("heights"), 96).withColumn("z", r("z"))
+
+
+# ------------------------------------------------------------ the same on tiles
+
+def tiled(inp, tile: int = 16):
+    return tiles.from_cells(inp.fx("heights"), tile)
+
+
+@query("fil_01_mask_tiles", "SELECT raster_id, row, col, CASE WHEN z > 12 AND z < 900 THEN z END AS z FROM {fx:heights} WHERE z IS NOT NULL")
+def _(inp):
+    t = tiles.mask(tiled(inp).withColumn("raw", c("data")), low=12.0, high=900.0)
+    return tiles.to_cells(t, "raw", "data").where("raw is not null").select(*KEY, c("data").alias("z"))
+
+
+@query("prj_19_stretch_tiles", """
+SELECT h.raster_id, row, col, trunc(greatest(0.0, least(255.0, (z - lo) / (hi - lo + 1e-9) * 255.0))) AS dn FROM {fx:heights} h JOIN (
+  SELECT raster_id, quantile_cont(z, 0.01) AS lo, quantile_cont(z, 0.99) AS hi FROM {fx:heights} GROUP BY raster_id) s ON h.raster_id = s.raster_id WHERE z IS NOT NULL""")
+def _(inp):
+    return tiles.to_cells(tiles.stretch(tiled(inp)), "data", "dn").where("data is not null").select(*KEY, "dn")
+
+
+@query("agg_03_percentile_tiles", """
+SELECT raster_id, round(quantile_cont(z, 0.01), 6) AS p01, round(quantile_cont(z, 0.5), 6) AS median, round(quantile_cont(z, 0.99), 6) AS p99 FROM {fx:heights} WHERE z IS NOT NULL GROUP BY raster_id""")
+def _(inp):
+    s = tiles.percentiles(tiled(inp), {"p01": .01, "median": .5, "p99": .99})
+    return s.select("raster_id", *[r(k).alias(k) for k in ("p01", "median", "p99")])
+
+
+@query("agg_04_block_average_tiles", f"""
+SELECT h.raster_id, CAST(row * 16 // lines AS INT) AS row, CAST(col * 16 // samples AS INT) AS col, round(sum(z) / count(z), 9) AS z
+FROM {{fx:heights}} h JOIN ({DIMS}) d ON h.raster_id = d.raster_id GROUP BY 1, 2, 3 HAVING count(z) > 0""")
+def _(inp):
+    # absent cells are nodata here, so blocks that hold little are told by their sum alone
+    return tiles.block_average(tiled(inp), 16).where("z <> 0").withColumn("z", r("z", 9))
+
+
+@query("agg_11_histogram_tiles", """
+SELECT raster_id, CAST(greatest(0, least(39, floor(z / 25))) AS INT) AS bin, count(*) AS n FROM {fx:heights} WHERE z IS NOT NULL GROUP BY 1, 2""")
+def _(inp):
+    return tiles.histogram(tiled(inp), 0.0, 25.0, 40)
+
+
+@query("win_04_gradient_tiles", f"""
+WITH d AS ({DIMS}) SELECT h.raster_id, h.row, h.col,
+  round(CASE WHEN h.col = 0 THEN e.z - h.z WHEN h.col = samples - 1 THEN h.z - w.z ELSE (e.z - w.z) / 2 END, 6) + 0.0 AS gx,
+  round(CASE WHEN h.row = 0 THEN s.z - h.z WHEN h.row = lines - 1 THEN h.z - n.z ELSE (s.z - n.z) / 2 END, 6) + 0.0 AS gy
+FROM {{fx:heights}} h JOIN d ON d.raster_id = h.raster_id LEFT JOIN {{fx:heights}} e ON e.raster_id = h.raster_id AND e.row = h.row AND e.col = h.col + 1
+LEFT JOIN {{fx:heights}} w ON w.raster_id = h.raster_id AND w.row = h.row AND w.col = h.col - 1 LEFT JOIN {{fx:heights}} s ON s.raster_id = h.raster_id AND s.row = h.row + 1 AND s.col = h.col
+LEFT JOIN {{fx:heights}} n ON n.raster_id = h.raster_id AND n.row = h.row - 1 AND n.col = h.col WHERE h.z IS NOT NULL""")
+def _(inp):
+    t = tiles.gradient(tiles.deal(tiled(inp)))
+    return tiles.to_cells(t, "data", "gx", "gy").where("data is not null").select(*KEY, r("gx").alias("gx"), r("gy").alias("gy"))
+
+
+@query("win_05_gaussian_smooth_tiles", SMOOTH + " WHERE h.z IS NOT NULL")
+def _(inp):
+    t = tiles.gaussian_smooth(tiles.deal(tiled(inp)), 1.2)
+    return tiles.to_cells(t, "data", "smooth").where("data is not null").select(*KEY, r("smooth").alias("z"))
