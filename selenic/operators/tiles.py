@@ -7,7 +7,8 @@ array columns beside it, so a chain of operators never takes a tile apart.
 * Pointwise operators and partial aggregates run on Arrow arrays and shuffle no cell.
 * A stencil needs its neighbours' edges only: each tile sends the strips along its border (``halo`` cells
   wide) to the tiles beside it, and the strips of a tile, eight at most, are joined to it. Tiles dealt once
-  with ``deal`` stay where they are for every stencil after it; only strips are shuffled.
+  with ``deal`` stay where they are for every stencil of a chain, with ``keep`` between two of them; only
+  strips are shuffled.
 * Exact percentiles come from counts of 16 bits a pass over the ordered 64-bit form of a double, so
   every pass narrows whatever the values, and a window holds 65,536 counts at most.
 
@@ -16,6 +17,7 @@ Every tile but those at a raster's end has ``tile`` rows and columns, and a halo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from selenic.operators.cells import gaussian_radius, gaussian_weights
-from selenic.session import materialise
+from selenic.session import materialise, workdir
 
 c, lit = F.col, F.lit
 KEY = ["raster_id", "tile_r", "tile_c"]
@@ -99,8 +101,22 @@ def framed(tiles: DataFrame) -> DataFrame:
 
 
 def deal(tiles: DataFrame) -> DataFrame:
-    """Tiles spread by their key, once, so that the stencils of a chain leave them in place."""
-    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+    """Tiles spread by their key, once, as a bucketed table in the shared folder."""
+    return keep(tiles.repartition(_buckets(tiles), *KEY))
+
+
+def keep(tiles: DataFrame) -> DataFrame:
+    """The result of a stencil as a bucketed table: its rows lie where they are, so nothing is shuffled.
+
+    A scan of the table tells Spark how the tiles lie, which a plan with Python in it does not.
+    """
+    spark, name = tiles.sparkSession, f"selenic_tiles_{uuid.uuid4().hex}"
+    tiles.write.format("parquet").bucketBy(_buckets(tiles), *KEY).option("path", workdir(spark, "tiles")).saveAsTable(name)
+    return spark.table(name)
+
+
+def _buckets(tiles: DataFrame) -> int:
+    return int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 # ------------------------------------------------------------ pointwise and aggregates
