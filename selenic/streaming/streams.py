@@ -1,22 +1,19 @@
 """Stateful event operators as Structured Streaming jobs.
 
 Each has a batch twin in ``operators.logs`` with the same result on the same events,
-whatever batches they arrive in; rows behind the watermark are dropped. Within a
-micro-batch, events of one key and millisecond are merged before they touch the state,
-so a busy key costs its distinct milliseconds.
+whatever batches they arrive in; rows behind the watermark are dropped. State lies in
+``keyed``: by bucket of event time, with timers.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from selenic.operators.catalog import last_wins
+from selenic.streaming import keyed
 
 c, lit = F.col, F.lit
 
@@ -31,34 +28,6 @@ def event_time(events: DataFrame, ts: str = "ts", late: str = LATENESS) -> DataF
     return events.withColumn(ts, c(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def _ticks(batches: Iterator[pd.DataFrame], ts: str) -> pd.Series:
-    """Events per millisecond in order. Arrow batches are reduced one by one, so memory
-    holds distinct milliseconds, not events."""
-    total = pd.Series(dtype="int64")
-    for b in batches:
-        ms = b[ts].astype("datetime64[ms]").astype("int64")
-        total = total.add(ms.value_counts(), fill_value=0)
-    return total.astype("int64").sort_index()
-
-
-def _open_ticks(state: GroupState, ticks: pd.Series, back_ms: int) -> tuple[pd.Series, int]:
-    """Ticks of the state and new ones in event order, and the version of this answer.
-
-    The state keeps what a row that is still on time can reach back to, and is dropped
-    when the watermark has passed all of it.
-    """
-    past, cnt, version = (state.get[0], state.get[1], state.get[2]) if state.exists else ([], [], 0)
-    every = pd.Series(cnt, index=past, dtype="int64").add(ticks, fill_value=0).astype("int64").sort_index()
-    floor = state.getCurrentWatermarkMs() - back_ms
-    keep = every[every.index > floor]
-    if len(keep):
-        state.update((keep.index.astype("int64").tolist(), keep.tolist(), version + 1))
-        state.setTimeoutTimestamp(max(int(keep.index[-1]) + back_ms, state.getCurrentWatermarkMs() + 1))
-    else:
-        state.remove()
-    return every, version + 1
-
-
 def rate_limit_stream(events: DataFrame, key: str = "key", ts: str = "ts", window_ms: int = RATE_WINDOW_MS, limit: int = 10) -> DataFrame:
     """Sliding count per key: (key, ms, n_events, n_window, allowed, version).
 
@@ -66,69 +35,15 @@ def rate_limit_stream(events: DataFrame, key: str = "key", ts: str = "ts", windo
     those milliseconds are given again with a higher version (see ``newest``).
     """
     ktype = events.schema[key].dataType.simpleString()
-
-    def step(k, batches, state: GroupState):
-        columns = [key, "ms", "n_events", "n_window", "allowed", "version"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(columns=columns)
-            return
-        ticks = _ticks(batches, ts)
-        ticks = ticks[ticks.index >= state.getCurrentWatermarkMs()]  # Spark's own check lags one batch behind
-        if ticks.empty:
-            yield pd.DataFrame(columns=columns)
-            return
-        every, version = _open_ticks(state, ticks, window_ms)
-        rows, live, total = [], deque(), 0
-        for ms, n in every.items():
-            live.append((ms, n))
-            total += n
-            while live[0][0] <= ms - window_ms:
-                total -= live.popleft()[1]
-            if ms >= ticks.index[0]:
-                rows.append((k[0], int(ms), int(n), int(total), bool(total <= limit), version))
-        yield pd.DataFrame(rows, columns=columns)
-    return event_time(events, ts).select(key, ts).groupBy(key).applyInPandasWithState(
-        step, f"{key} {ktype}, ms bigint, n_events bigint, n_window bigint, allowed boolean, version bigint",
-        "ms array<bigint>, n array<bigint>, version bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.run(event_time(events, ts).select(key, ts), keyed.SlidingCount(key, ts, window_ms, limit),
+                     f"{key} {ktype}, ms bigint, n_events bigint, n_window bigint, allowed boolean, version bigint")
 
 
 def ttl_gate_stream(events: DataFrame, key: str = "key", ts: str = "ts", ttl_ms: int = MATCH_TTL_MS) -> DataFrame:
-    """``fresh`` or ``hit`` per key and millisecond, with a version as in ``rate_limit_stream``.
-
-    The state is the last fresh time that no row on time can change any more, and the
-    milliseconds since; it goes when its time to live is over.
-    """
+    """``fresh`` or ``hit`` per key and millisecond, with a version as in ``rate_limit_stream``."""
     ktype = events.schema[key].dataType.simpleString()
-
-    def step(k, batches, state: GroupState):
-        columns = [key, "t", "n_events", "state", "version"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(columns=columns)
-            return
-        ticks = _ticks(batches, ts)
-        ticks = ticks[ticks.index >= state.getCurrentWatermarkMs()]  # Spark's own check lags one batch behind
-        if ticks.empty:
-            yield pd.DataFrame(columns=columns)
-            return
-        past, cnt, version, last = state.get if state.exists else ([], [], 0, None)
-        every = pd.Series(cnt, index=past, dtype="int64").add(ticks, fill_value=0).astype("int64").sort_index()
-        mark = state.getCurrentWatermarkMs()
-        rows, settled = [], last
-        for ms, n in every.items():
-            fresh = last is None or ms >= last + ttl_ms
-            last = int(ms) if fresh else last
-            settled = last if ms < mark else settled
-            if ms >= ticks.index[0]:
-                rows.append((k[0], int(ms), int(n), "fresh" if fresh else "hit", version + 1))
-        keep = every[every.index >= mark]
-        state.update((keep.index.astype("int64").tolist(), keep.tolist(), version + 1, settled))
-        state.setTimeoutTimestamp(max(int(every.index[-1]) + ttl_ms, mark + 1))
-        yield pd.DataFrame(rows, columns=columns)
-    return event_time(events, ts).select(key, ts).groupBy(key).applyInPandasWithState(
-        step, f"{key} {ktype}, t bigint, n_events bigint, state string, version bigint",
-        "ms array<bigint>, n array<bigint>, version bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.run(event_time(events, ts).select(key, ts), keyed.TtlGate(key, ts, ttl_ms),
+                     f"{key} {ktype}, t bigint, n_events bigint, state string, version bigint")
 
 
 def newest(answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,16 +53,22 @@ def newest(answers: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, *[c(f"_b.{x}").alias(x) for x in rest if x != "version"])
 
 
-def job_status_stream(jobs: DataFrame, key: str = "scene_id", ts: str = "created_at", tie: str = "job_id") -> DataFrame:
-    """Latest stage and status per key, for update-mode sinks."""
-    order = F.struct(c(ts), c(tie))
-    return event_time(jobs, ts).groupBy(key).agg(
-        F.max_by("stage", order).alias("stage"), F.max_by("status", order).alias("status"), F.max(ts).alias(ts))
+def job_status_stream(jobs: DataFrame, key: str = "scene_id", ts: str = "created_at", tie: str = "job_id", ttl_ms: int = STATUS_TTL_MS,
+                      late: str = LATENESS) -> DataFrame:
+    """(key, stage, status, alive, tie, ts): the latest status of a key when it changes, and once more, not alive, when it expires.
+
+    A status lives ``ttl_ms`` of event time; its timer then drops the state (see ``present``).
+    """
+    ktype = jobs.schema[key].dataType.simpleString()
+    return keyed.run(event_time(jobs, ts, late).select(key, ts, tie, "stage", "status"), keyed.JobStatus(key, ts, tie, ttl_ms),
+                     f"{key} {ktype}, stage string, status string, alive boolean, tie string, {ts} timestamp")
 
 
-def alive(status: DataFrame, now_ms, ts: str = "created_at", ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
-    """Status rows still alive at ``now_ms`` (a Column or number)."""
-    return status.where(F.unix_millis(c(ts).cast("timestamp")) > now_ms - ttl_ms)
+def present(answers: DataFrame, key: str = "scene_id", ts: str = "created_at") -> DataFrame:
+    """The newest status of each key in what a status stream has given, with whether it is still alive."""
+    # the row that says a status is over follows the one that gave it
+    order = F.struct(c(ts), c("tie"), ~c("alive"))
+    return answers.groupBy(key).agg(*[F.max_by(x, order).alias(x) for x in ("stage", "status", "alive")], F.max(ts).alias(ts))
 
 
 def incremental_catalog(labels: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, quarantine: str,

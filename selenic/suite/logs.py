@@ -78,12 +78,13 @@ def _(inp):
     return streams.newest(_drain(inp, streams.ttl_gate_stream(ev, ttl_ms=24 * HOUR), "ttl-gate"), ["key", "t"])
 
 
+# a status is over once the watermark, ten minutes behind the last event, is ten minutes past it
 @query("str_04_job_status", f"""
-SELECT scene_id, stage, status, epoch_us(created_at) // 1000 AS ms FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY created_at DESC, job_id DESC) AS rn FROM {{fx:jobs}}) q WHERE rn = 1""")
+SELECT scene_id, stage, status, epoch_us(created_at) // 1000 AS ms, epoch_us(created_at) // 1000 > (SELECT max(epoch_us(created_at) // 1000) FROM {{fx:jobs}}) - 1200000 AS alive
+FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY created_at DESC, job_id DESC) AS rn FROM {{fx:jobs}}) q WHERE rn = 1""")
 def _(inp):
     ev = _event_stream(inp).select(
         c("event_id").alias("job_id"), c("user_id").alias("scene_id"), c("event_type").alias("stage"),
         F.when(c("event_type") == "error", "failed").otherwise("done").alias("status"), c("ts").alias("created_at"))
-    out = _drain(inp, streams.job_status_stream(ev), "job-status", "update")
-    latest = catalog.last_wins(out, ["scene_id"], "batch")
-    return latest.select("scene_id", "stage", "status", F.unix_millis("created_at").alias("ms"))
+    latest = streams.present(_drain(inp, streams.job_status_stream(ev), "job-status"))
+    return latest.select("scene_id", "stage", "status", F.unix_millis("created_at").alias("ms"), "alive")
