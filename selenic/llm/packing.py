@@ -38,7 +38,10 @@ CAPACITY = 4096
 END_ID = 2
 TOLERANCE = 32
 WORKERS = 64
-REMEMBER = 400_000
+#: bytes that an encoder remembers pre-tokens in, about
+REMEMBER = 16 << 20
+#: bytes of an entry beside its word and ids, and the longest word with its ids that is remembered
+ENTRY, LONG = 190, 1000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 #: Texts of these characters only, in which normalising is lower case and splitting is plain.
@@ -58,21 +61,24 @@ def byte_letters() -> list[str]:
 
 
 class WordIds(dict):
-    """Ids of pre-tokens as little-endian bytes; those of two generations of at most ``REMEMBER`` / 2 are remembered."""
+    """Ids of pre-tokens as little-endian bytes; those of two generations of at most ``REMEMBER`` / 2 bytes are remembered."""
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.letters, self.old = model, byte_letters(), {}
+        self.model, self.letters, self.old, self.size = model, byte_letters(), {}, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
             ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        if len(self) >= REMEMBER // 2:
-            self.old = dict(self)
+        if len(word) + len(ids) > LONG:
+            return ids
+        if self.size >= REMEMBER // 2:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[word] = ids
+        self.size += ENTRY + len(word) + len(ids)
         return ids
 
 
