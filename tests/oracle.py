@@ -33,7 +33,8 @@ def diff(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> str | None:
         return f"columns {sorted(spark_pdf.columns)} vs {sorted(duck_pdf.columns)}"
     for c in spark_pdf.columns:
         kinds = spark_pdf[c].dtype.kind, duck_pdf[c].dtype.kind
-        if len(spark_pdf) and kinds[0] != kinds[1]:
+        # pandas has no type of its own for a column of nulls only
+        if len(spark_pdf) and kinds[0] != kinds[1] and not (spark_pdf[c].isna().all() and duck_pdf[c].isna().all()):
             return f"type of {c}: {spark_pdf[c].dtype} vs {duck_pdf[c].dtype}"
     if len(spark_pdf) != len(duck_pdf):
         return f"rows {len(spark_pdf)} vs {len(duck_pdf)}"
