@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selenic.operators.catalog import last_wins
+from selenic.sources.catalog_log import CatalogLog
 from selenic.streaming import keyed
 
 c, lit = F.col, F.lit
@@ -72,29 +73,28 @@ def present(answers: DataFrame, key: str = "scene_id", ts: str = "created_at") -
 
 
 def incremental_catalog(labels: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, quarantine: str,
-                        checkpoint: str, key: str = "product_id", version: str = "version"):
-    """Keep a catalog table current from a stream of label files.
+                        checkpoint: str, key: str = "product_id", version: str = "version", compact_every: int = 16):
+    """Keep a catalog current from a stream of label files.
 
     ``labels`` is a stream of (path, xml, version). Unreadable labels go to the
-    quarantine table and never stop the stream. Each batch is merged by key into a new
-    table version below ``target``; a rerun of a batch writes the same version again,
-    so a lost driver loses nothing.
+    quarantine table and never stop the stream. A batch is parsed once and writes its own
+    rows to the ``CatalogLog`` at ``target``, which is compacted every few batches; a rerun of a batch
+    changes nothing, so a lost driver loses nothing.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parsed = parse(batch)
-        bad = parsed.where("error is not null").select("path", "error")
-        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        good = parsed.where("error is null").drop("error")
-        if batch_id > 0:
-            good = spark.read.schema(good.schema).parquet(f"{target}/v{batch_id - 1}").unionByName(good)
-        last_wins(good, [key], version, "path").write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        parsed = parse(batch).persist()
+        parsed.where("error is not null").select("path", "error").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        log = CatalogLog(batch.sparkSession, target, key, version, "path")
+        log.append(parsed.where("error is null").drop("error"), batch_id)
+        parsed.unpersist()
+        if (batch_id + 1) % compact_every == 0:
+            log.compact(batch_id)
     return labels.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def latest_version(spark: SparkSession, target: str, query) -> DataFrame:
-    """The catalog after the last batch of a finished or running query."""
-    return spark.read.parquet(f"{target}/v{query.lastProgress['batchId'] if query.lastProgress else 0}")
+def current_catalog(spark: SparkSession, target: str, key: str = "product_id", version: str = "version") -> DataFrame:
+    """The catalog that a finished or running stream has kept so far."""
+    return CatalogLog(spark, target, key, version, "path").read()
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

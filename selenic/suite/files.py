@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from selenic.operators import catalog
 from selenic.session import materialise, workdir
 from selenic.sources import labels, rasters, tables
+from selenic.sources.catalog_log import CatalogLog
 from selenic.streaming import streams
 from selenic.suite.registry import query, r
 
@@ -46,7 +47,7 @@ def _(inp):
     q = streams.incremental_catalog(feed, labels.parse_labels, f"{base}/catalog", f"{base}/bad", f"{base}/checkpoint")
     q = q.trigger(availableNow=True).start()
     q.awaitTermination()
-    return _label_view(streams.latest_version(inp.spark, f"{base}/catalog", q))
+    return _label_view(streams.current_catalog(inp.spark, f"{base}/catalog"))
 
 
 # ------------------------------------------------------------ raster files
@@ -218,6 +219,17 @@ def _(inp):
     return table
 
 
+@query("snk_02_upsert_log", """
+SELECT product_id, src, prio, size FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio DESC) AS rn FROM {fx:sources}) q WHERE rn = 1""")
+def _(inp):
+    log, s = CatalogLog(inp.spark, workdir(inp.spark, "scene-log"), "product_id", "prio", buckets=8), inp.fx("sources")
+    for n, src in enumerate(("tar", "zip", "dir")):
+        log.upsert(s.where(c("src") == src))
+        if n == 1:
+            log.compact(n)
+    return log.read().select("product_id", "src", "prio", "size")
+
+
 @query("snk_03_scene_docs", "SELECT CAST(scene_id AS INT) AS scene_id, cand_id, radius_px FROM {fx:candidates}")
 def _(inp):
     path = workdir(inp.spark, "craters")
