@@ -39,7 +39,7 @@ END_ID = 2
 TOLERANCE = 32
 WORKERS = 64
 #: bytes that an encoder remembers pre-tokens in, about
-REMEMBER = 16 << 20
+REMEMBER = 32 << 20
 #: bytes of an entry beside its word and ids, and the longest word with its ids that is remembered
 ENTRY, LONG = 190, 1000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
