@@ -58,9 +58,3 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         return (side("lo") + (side("hi") - side("lo")) * frac).alias(name)
 
     return at.groupBy(*keys).agg(*[pick(n) for n in probs])
-
-
-def approx_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                       accuracy: int = 10000) -> DataFrame:
-    """One-pass sketch for rasters where an approximate stretch is enough."""
-    return df.groupBy(*keys).agg(*[F.percentile_approx(value, F.lit(p), F.lit(accuracy)).alias(n) for n, p in probs.items()])
