@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,14 +81,60 @@ def _grams(s: Column, q: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(lit(1), n), lambda i: F.substr(s, i, lit(q))))
 
 
+def prefix_ranges(markers: DataFrame, texts: DataFrame, longest: int, first: bool = False) -> DataFrame:
+    """(short, long) where ``text`` begins with ``short``; with ``first`` the smallest long of each short.
+
+    ``markers(short)`` of at most ``longest`` characters, ``texts(text, long)``. Both are dealt to ranges
+    of (text, long) and sorted, so the texts under a marker are one range that may span any number of
+    tasks, and copies of one text are split as well. A task walks its range with the stack of markers
+    that the current text begins with. Markers of earlier ranges are guessed from the first text of a
+    task; the guesses that are no markers go in the last join.
+    """
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[str] = []
+        least: dict[str, str] = {}
+        begun = False
+        for b in batches:
+            short, long = [], []
+            for text, owner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not begun:
+                    begun, stack = True, [text[:n] for n in range(1, min(longest, len(text)) + 1)]
+                while stack and not text.startswith(stack[-1]):
+                    gone = stack.pop()
+                    if gone in least:
+                        short.append(gone)
+                        long.append(least.pop(gone))
+                if owner is None:
+                    if not stack or stack[-1] != text:
+                        stack.append(text)
+                elif first:
+                    for m in stack:
+                        least[m] = min(owner, least.get(m, owner))
+                else:
+                    short += stack
+                    long += [owner] * len(stack)
+            yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(long, pa.string())], ["short", "long"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.string()), pa.array(list(least.values()), pa.string())], ["short", "long"])
+
+    if first:  # copies of a text are one row
+        texts = texts.groupBy("text").agg(F.min("long").alias("long"))
+    rows = texts.select("text", "long").unionByName(markers.select(c("short").alias("text"), lit(None).cast("string").alias("long")))
+    rows = rows.repartitionByRange(c("text"), c("long").asc_nulls_first()).sortWithinPartitions(c("text"), c("long").asc_nulls_first())
+    found = rows.mapInArrow(walk, "short string, long string")
+    if first:
+        found = found.groupBy("short").agg(F.min("long").alias("long"))
+    return found.join(markers.select("short"), "short", "left_semi")
+
+
 def containing_pairs(short: DataFrame, long: DataFrame, q: int = 8, first: bool = False) -> DataFrame:
     """(short, long) where the text ``long`` contains ``short``; with ``first`` a text shorter
     than q meets the smallest of its long texts only.
 
     Every short text is anchored on its rarest q-gram and joined only with the long
-    texts that hold this gram; texts shorter than q are joined on themselves.
-    Frequencies are counted by a partial aggregate, so a prefix that all ids share
-    never becomes a join key.
+    texts that hold this gram. Frequencies are counted by a partial aggregate, so a prefix
+    that all ids share never becomes a join key. Texts shorter than q are prefix ranges of the
+    sorted suffixes, of which q - 1 characters decide; only suffixes that begin with the first
+    character of such a text are sorted.
     """
     s = short.select("short").where(F.length("short") > 0).distinct()
     big = long.select("long").distinct()
@@ -97,12 +146,11 @@ def containing_pairs(short: DataFrame, long: DataFrame, q: int = 8, first: bool
     anchor = owned.groupBy("short").agg(F.min_by("g", F.struct(F.coalesce("_f", lit(0)), "g")).alias("g"))
     hits = anchor.join(grams, "g").where(c("long").contains(c("short"))).select("short", "long")
 
-    pieces = big.select("long", F.explode(F.flatten(F.transform(
-        F.sequence(lit(1), lit(q - 1)), lambda n: F.transform(
-            F.sequence(lit(1), F.greatest(lit(1), F.length("long") - n + 1)), lambda i: F.substr(c("long"), i, n))))).alias("short"))
-    if first:
-        pieces = pieces.groupBy("short").agg(F.min("long").alias("long"))
-    return hits.unionByName(pieces.join(tiny, "short").select("short", "long").distinct())
+    suffix = big.where(F.length("long") > 0).select("long", F.explode(F.array_distinct(F.transform(
+        F.sequence(lit(1), F.length("long")), lambda i: F.substr(c("long"), i, lit(q - 1))))).alias("text"))
+    initial = tiny.select(F.substring("short", 1, 1).alias("_a")).distinct()
+    suffix = suffix.withColumn("_a", F.substring("text", 1, 1)).join(initial, "_a", "left_semi").select("text", "long")
+    return hits.unionByName(prefix_ranges(tiny, suffix, q - 1, first).distinct())
 
 
 def pick_reference(scenes: DataFrame, products: DataFrame, q: int = 8) -> DataFrame:

@@ -261,23 +261,29 @@ def inpaint(cells: DataFrame, reach: int = 32, tile: int = 256) -> DataFrame:
         own = materialise(stencil(own, reach, lambda a: [_spread(a, reach)[reach:-reach, reach:-reach]], ["z"], border="nan", tile=tile), "inpaint")
 
 
-def _cubic(n_in: int, n_out: int) -> np.ndarray:
-    """Cubic convolution weights (a = -0.75), out x in, with a replicated border."""
-    at = (np.arange(n_out) + 0.5) * n_in / n_out - 0.5
-    base, m = np.floor(at).astype(int), np.zeros((n_out, n_in))
+def resample_cubic(lines: np.ndarray, n: int) -> np.ndarray:
+    """Cubic convolution (a = -0.75) of each line to n cells, replicated border: four taps a cell."""
+    at, a = (np.arange(n) + 0.5) * lines.shape[1] / n - 0.5, -0.75
+    base, out = np.floor(at).astype(int), np.zeros((len(lines), n))
     for k in range(-1, 3):
-        d, a = np.abs(at - (base + k)), -0.75
+        d = np.abs(at - (base + k))
         w = np.where(d <= 1, (a + 2) * d ** 3 - (a + 3) * d ** 2 + 1, a * (d ** 3 - 5 * d ** 2 + 8 * d - 4))
-        np.add.at(m, (np.arange(n_out), np.clip(base + k, 0, n_in - 1)), w)
-    return m
+        out += lines[:, np.clip(base + k, 0, lines.shape[1] - 1)] * w
+    return out
 
 
-def area_weights(n_in: int, n_out: int) -> np.ndarray:
-    """Overlap of output cells with input cells, out x in, rows summing to one."""
-    edge = np.arange(n_out + 1) * (n_in / n_out)
-    j = np.arange(n_in)
-    over = np.minimum(edge[1:, None], j + 1) - np.maximum(edge[:-1, None], j)
-    return np.clip(over, 0, None) * (n_out / n_in)
+def resample_area(lines: np.ndarray, n: int) -> np.ndarray:
+    """Mean of the cells under each of n cells of a line, by running sums: memory grows with the line."""
+    m = lines.shape[1]
+    if m == n:
+        return lines.astype(float)
+    middle = lines.mean(axis=1, keepdims=True)
+    total = np.zeros((len(lines), m + 1))
+    np.cumsum(lines - middle, axis=1, out=total[:, 1:])
+    edge = np.minimum(np.arange(n + 1) * (m / n), m)
+    whole = np.minimum(np.floor(edge).astype(int), m - 1)
+    at = total[:, whole] + (lines - middle)[:, whole] * (edge - whole)
+    return np.diff(at, axis=1) * (n / m) + middle
 
 
 def upsample_cubic(cells: DataFrame, n: int = 192) -> DataFrame:
@@ -286,12 +292,11 @@ def upsample_cubic(cells: DataFrame, n: int = 192) -> DataFrame:
     ``w`` is the valid share under a cell; cells with hardly any are 0.
     """
     def first(blocks, *_):
-        z, m = blocks[0], blocks[0].shape[1]
-        return [np.nan_to_num(z) @ _cubic(m, n).T, np.isfinite(z) @ area_weights(m, n).T]
+        z = blocks[0]
+        return [resample_cubic(np.nan_to_num(z), n), resample_area(np.isfinite(z), n)]
 
     def second(blocks, *_):
-        v, w, m = np.nan_to_num(blocks[0]), np.nan_to_num(blocks[1]), blocks[0].shape[1]
-        v, w = v @ _cubic(m, n).T, w @ area_weights(m, n).T
+        v, w = resample_cubic(np.nan_to_num(blocks[0]), n), resample_area(np.nan_to_num(blocks[1]), n)
         return [np.where(w < 1e-3, 0.0, v / np.maximum(w, 1e-6)), w]
 
     return along(along(cells, "col", first, ["z"], ["v", "w"]), "row", second, ["v", "w"], ["z", "w"]).drop("_h", "_w")
@@ -381,24 +386,28 @@ def template_ncc(templates: DataFrame, images: DataFrame, key: str | list[str] =
 
 
 def scale_sweep(strips: DataFrame, images: DataFrame, base_scale: float = 1.0, factors: tuple[float, ...] = SWEEP,
-                max_tpl: int | None = None, min_overlap: int = 128, key: str = "raster_id") -> DataFrame:
+                max_tpl: int | None = 512, min_overlap: int = 128, key: str = "raster_id", floor: int = 64,
+                max_side: int | None = 4096) -> DataFrame:
     """Resample a strip by each factor, search its centre in the image, keep the best factor.
 
-    The strip is resampled by area once per factor, one pass along each axis. The template
-    is the largest even square that strip and image allow (at most ``max_tpl``); factors whose
+    The strip is resampled by area to ``base_scale``, and from there once per factor, one pass along
+    each axis; no side gets below ``floor``, factors with a side over ``max_side`` are skipped. The
+    template is the largest even square that strip and image allow (at most ``max_tpl``); factors whose
     square is below ``min_overlap`` are skipped, and a pair without any gets NULLs. The
     sampling distance is 0.5 / factor; (dx, dy) is the shift against the image centre.
     """
-    def scaled(n: int, f: float) -> int:
-        return max(2, int(n * base_scale * f))
+    def resampled(cells: DataFrame, side) -> DataFrame:
+        step = lambda b, *_: [resample_area(np.nan_to_num(b[0]), side(b[0].shape[1]))]
+        return along(along(cells, "col", step, ["z"], ["z"]), "row", step, ["z"], ["z"])
 
     images = images.select(c(key).alias("raster_id"), "row", "col", "z")
     strips = strips.select(c(key).alias("raster_id"), "row", "col", "z")
     frame = images.groupBy("raster_id").agg((F.max("row") + 1).alias("_ih"), (F.max("col") + 1).alias("_iw"))
+    base = materialise(resampled(strips, lambda n: max(floor, round(n * base_scale))), "base")
     keys, parts = ["raster_id", "factor", "ord"], []
     for k, f in enumerate(factors):
-        resample = lambda b, *_, f=f: [np.nan_to_num(b[0]) @ area_weights(b[0].shape[1], scaled(b[0].shape[1], f)).T]
-        body = along(along(strips, "col", resample, ["z"], ["z"]), "row", resample, ["z"], ["z"]).drop("_h", "_w")
+        fits = base.where(F.floor(F.greatest("_h", "_w") * lit(float(f))) <= max_side) if max_side else base
+        body = resampled(fits, lambda n, f=f: max(floor, int(n * f))).drop("_h", "_w")
         parts.append(body.withColumns({"factor": lit(float(f)), "ord": lit(k)}))
     body = parts[0]
     for p in parts[1:]:

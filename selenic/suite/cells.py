@@ -204,12 +204,43 @@ def _(inp):
     return kernels.template_ncc(tpl, h.select(*KEY, "z")).withColumn("ncc", r("ncc", 4))
 
 
-@query("agg_10_scale_sweep")
+def _area_sql(sizes: str) -> str:
+    """Shares of input cells in output cells for each pair of sizes (n, m)."""
+    lo, hi = "greatest(o * (n::DOUBLE / m), i)", "least((o + 1) * (n::DOUBLE / m), i + 1)"
+    return (f"SELECT n, m, CAST(o AS INT) AS o, CAST(i AS INT) AS i, ({hi} - {lo}) * (m::DOUBLE / n) AS w FROM ({sizes}) s, "
+            f"LATERAL (SELECT unnest(range(0, m)) AS o) a, LATERAL (SELECT unnest(range(0, n)) AS i) b WHERE {hi} > {lo}")
+
+
+def _resized_sql(source: str, key: str) -> str:
+    """``source`` (key, row, col, z, h, w, h2, w2) resized by area, the new sizes as h and w."""
+    wide = (f"SELECT {key}, row, t.o AS col, h, h2, w2, sum(z * t.w) AS z FROM {source} s JOIN area t ON t.n = s.w AND t.m = w2 AND t.i = col GROUP BY {key}, row, t.o, h, h2, w2")
+    return (f"SELECT {key}, t.o AS row, col, h2 AS h, w2 AS w, sum(z * t.w) AS z FROM ({wide}) q JOIN area t ON t.n = h AND t.m = h2 AND t.i = row GROUP BY {key}, t.o, col, h2, w2")
+
+
+SIZE0 = "CAST(greatest(8, round({0} * 0.9::DOUBLE)) AS INT)"
+
+
+@query("agg_10_scale_sweep", f"""
+WITH {DENSE}, fac AS (SELECT CAST(f AS DOUBLE) AS factor, ord FROM (VALUES (1.0, 0), (0.8, 1), (1.25, 2), (0.63, 3), (1.58, 4), (0.5, 5), (2.0, 6), (0.4, 7), (2.5, 8)) t(f, ord)),
+d0 AS (SELECT raster_id, lines AS h, samples AS w, {SIZE0.format('lines')} AS h2, {SIZE0.format('samples')} AS w2 FROM dims),
+d1 AS (SELECT raster_id, factor, ord, h2 AS h, w2 AS w, CAST(greatest(8, floor(h2 * factor)) AS INT) AS h2, CAST(greatest(8, floor(w2 * factor)) AS INT) AS w2 FROM d0, fac),
+area AS ({_area_sql("SELECT h AS n, h2 AS m FROM d0 UNION SELECT w, w2 FROM d0 UNION SELECT h, h2 FROM d1 UNION SELECT w, w2 FROM d1")}),
+s0 AS (SELECT dense.raster_id, row, col, z, h, w, h2, w2 FROM dense JOIN d0 ON dense.raster_id = d0.raster_id),
+base AS ({_resized_sql("s0", "raster_id")}),
+s1 AS (SELECT b.raster_id, factor, ord, row, col, z, b.h, b.w, h2, w2 FROM base b JOIN d1 ON b.raster_id = d1.raster_id),
+body AS ({_resized_sql("s1", "raster_id, factor, ord")}),
+t AS (SELECT d1.raster_id, factor, ord, lines, samples, h2, w2, CAST(least(h2 // 2 * 2, lines // 2 * 2, w2 // 2 * 2, samples // 2 * 2) AS INT) AS t FROM d1 JOIN dims ON d1.raster_id = dims.raster_id),
+tpl AS (SELECT b.raster_id, b.factor, b.ord, t, lines, samples, row - (h2 - t) // 2 AS tr, col - (w2 - t) // 2 AS tc, z FROM body b JOIN t ON b.raster_id = t.raster_id AND b.factor = t.factor
+  WHERE t >= 16 AND row >= (h2 - t) // 2 AND row < (h2 - t) // 2 + t AND col >= (w2 - t) // 2 AND col < (w2 - t) // 2 + t),
+place AS (SELECT tpl.raster_id, factor, ord, t, tpl.lines, tpl.samples, d.row - tr AS y, d.col - tc AS x, corr(d.z, tpl.z) AS ncc FROM tpl JOIN dense d ON d.raster_id = tpl.raster_id
+  AND d.row >= tr AND d.row <= tpl.lines - t + tr AND d.col >= tc AND d.col <= tpl.samples - t + tc GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY raster_id, factor ORDER BY round(ncc, 9) DESC, y, x) AS k FROM place)
+SELECT dims.raster_id, factor, round(ncc, 4) AS ncc, CAST(x - (b.samples - t) // 2 AS INT) AS dx, CAST(y - (b.lines - t) // 2 AS INT) AS dy, 0.5::DOUBLE / factor AS gsd_m
+FROM dims LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY round(ncc, 9) DESC, ord) AS rn FROM best WHERE k = 1) b ON b.raster_id = dims.raster_id AND rn = 1
+WHERE rn = 1 OR rn IS NULL""")
 def _(inp):
-    h = inp.fx("heights")
-    strip = h.where(predicates.in_window(c("row"), c("col"), 8, 8, 56, 56)).select(
-        "raster_id", (c("row") - 8).alias("row"), (c("col") - 8).alias("col"), "z")
-    return kernels.scale_sweep(strip, h.select(*KEY, "z"), max_tpl=40, min_overlap=16)
+    h = inp.fx("heights").select(*KEY, "z")
+    return kernels.scale_sweep(h, h, base_scale=0.9, min_overlap=16, max_tpl=None, floor=8).withColumn("ncc", r("ncc", 4))
 
 
 @query("agg_11_class_histogram", """
@@ -433,7 +464,29 @@ def _(inp):
     return ops.upsample_linear(inp.fx("heights").select(*KEY, F.sin("z2").alias("z")), 96).withColumn("z", r("z"))
 
 
-@query("til_05_upsample_cubic")
+def _cubic_sql(size: str, n: int) -> str:
+    """Cubic taps and weights (a = -0.75) of a line's cells, border replicated: (raster_id, o, i, w)."""
+    at = f"((o + 0.5::DOUBLE) * {size} / {n} - 0.5)"
+    return f"""SELECT raster_id, o, i, sum(CASE WHEN d <= 1 THEN 1.25 * d * d * d - 2.25 * d * d + 1 ELSE -0.75 * (d * d * d - 5 * d * d + 8 * d - 4) END) AS w FROM (
+  SELECT raster_id, CAST(o AS INT) AS o, CAST(greatest(0, least({size} - 1, floor({at}) + k)) AS INT) AS i, abs({at} - floor({at}) - k) AS d
+  FROM ({DIMS}) d, (SELECT unnest(range(0, {n})) AS o) g, (SELECT unnest(range(-1, 3)) AS k) t) q GROUP BY 1, 2, 3"""
+
+
+@query("til_05_upsample_cubic", f"""
+WITH {DENSE}, holes AS (SELECT d.raster_id, d.row, d.col, d.lines, d.samples, d.z, CASE WHEN h.z IS NULL THEN 0 ELSE 1 END AS v FROM dense d
+  LEFT JOIN {{fx:heights}} h ON h.raster_id = d.raster_id AND h.row = d.row AND h.col = d.col),
+area AS ({_area_sql("SELECT lines AS n, 96 AS m FROM dims UNION SELECT samples, 96 FROM dims")}),
+rows_w AS ({_cubic_sql('lines', 96)}), cols_w AS ({_cubic_sql('samples', 96)}),
+v1 AS (SELECT h.raster_id, row, o AS col, sum(z * w) AS z FROM holes h JOIN cols_w c ON c.raster_id = h.raster_id AND c.i = col GROUP BY 1, 2, 3),
+v2 AS (SELECT v1.raster_id, o AS row, col, sum(z * w) AS z FROM v1 JOIN rows_w c ON c.raster_id = v1.raster_id AND c.i = row GROUP BY 1, 2, 3),
+w1 AS (SELECT raster_id, row, lines, o AS col, sum(v * w) AS v FROM holes JOIN area ON n = samples AND i = col GROUP BY 1, 2, 3, 4),
+w2 AS (SELECT raster_id, o AS row, col, sum(v * w) AS v FROM w1 JOIN area ON n = lines AND i = row GROUP BY 1, 2, 3),
+up AS (SELECT v2.raster_id, v2.row, v2.col, v AS w, CASE WHEN v < 1e-3 THEN 0 ELSE z / v END AS z FROM v2 JOIN w2 ON v2.raster_id = w2.raster_id AND v2.row = w2.row AND v2.col = w2.col),
+near AS (SELECT a.raster_id, a.row, a.col, a.w, a.row + i AS r0, a.col + j AS c0, (2 - abs(i)) * (2 - abs(j)) / 16.0::DOUBLE AS k
+  FROM up a, (SELECT unnest(range(-1, 2)) AS i) x, (SELECT unnest(range(-1, 2)) AS j) y)
+SELECT n.raster_id, n.row, n.col, round(CASE WHEN any_value(n.w) < 1e-3 THEN 0 ELSE sum(u.z * k) END, 6) + 0.0 AS z FROM near n
+JOIN up u ON u.raster_id = n.raster_id AND u.row = CASE WHEN r0 < 0 THEN -r0 WHEN r0 > 95 THEN 190 - r0 ELSE r0 END AND u.col = CASE WHEN c0 < 0 THEN -c0 WHEN c0 > 95 THEN 190 - c0 ELSE c0 END
+GROUP BY 1, 2, 3""")
 def _(inp):
     return kernels.upsample_smoothed(inp.fx("heights"), 96).withColumn("z", r("z"))
 

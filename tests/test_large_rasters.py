@@ -1,5 +1,7 @@
 """Kernels on rasters beyond one group, against dense versions."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,11 +54,53 @@ def test_fill_wide_hole(spark, image):
     assert np.allclose(got, want)
 
 
+def plain_cubic(n_in: int, n_out: int) -> np.ndarray:
+    """Weights out x in from the kernel's definition, one by one."""
+    out = np.zeros((n_out, n_in))
+    for o in range(n_out):
+        at = (o + 0.5) * n_in / n_out - 0.5
+        for i in range(int(np.floor(at)) - 1, int(np.floor(at)) + 3):
+            d = abs(at - i)
+            w = 1.25 * d ** 3 - 2.25 * d ** 2 + 1 if d <= 1 else -0.75 * d ** 3 + 3.75 * d ** 2 - 6 * d + 3
+            out[o, min(max(i, 0), n_in - 1)] += w
+    return out
+
+
+def plain_area(n_in: int, n_out: int) -> np.ndarray:
+    step = n_in / n_out
+    return np.array([[max(0.0, min((o + 1) * step, i + 1) - max(o * step, i)) / step for i in range(n_in)] for o in range(n_out)])
+
+
 def test_cubic(spark, image):
-    up = kernels._cubic(1300, 64) @ image @ kernels._cubic(90, 64).T
+    up = plain_cubic(1300, 64) @ image @ plain_cubic(90, 64).T
     assert np.allclose(dense(kernels.upsample_cubic(table(spark, image), 64), (64, 64)), up, atol=1e-6)
 
 
+@pytest.mark.parametrize("n", [1, 7, 64, 89, 90, 91, 200])
+def test_resampling_equals_dense_weights(image, n):
+    assert np.allclose(kernels.resample_area(image[:40], n), image[:40] @ plain_area(90, n).T, atol=1e-9)
+    assert np.allclose(kernels.resample_cubic(image[:40], n), image[:40] @ plain_cubic(90, n).T, atol=1e-9)
+
+
+def test_resampling_of_a_long_line_needs_memory_for_the_line_only():
+    line = np.sin(np.arange(90_148) / 500)[None] + 1000
+    tracemalloc.start()
+    up = kernels.resample_area(line, 225_370)
+    assert np.allclose(kernels.resample_area(up, 90_148), line, atol=1e-2) and up.mean() == pytest.approx(line.mean())
+    kernels.resample_cubic(line, 225_370)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
+def test_sweep_floor_and_largest_side(spark, image):
+    strip, frame = table(spark, image[:100]), table(spark, image[:120])
+    kept = kernels.scale_sweep(strip, frame, factors=(0.2, 1.0), min_overlap=16).first()
+    assert kept.factor == 1.0 and kept.ncc == pytest.approx(1.0)
+    none = kernels.scale_sweep(strip, frame, factors=(1.0,), min_overlap=16, max_side=99).first()
+    assert none.factor is None and none.ncc is None
+
+
 def test_template_over_several_tiles(spark, image):
     found = kernels.template_ncc(table(spark, image[610:690, 17:77]), table(spark, image), tile=48).first()
     assert (found.row, found.col) == (610, 17) and found.ncc == pytest.approx(1.0)

@@ -64,6 +64,37 @@ def test_containing_pairs(spark):
     assert sorted((r.short, r.long) for r in got.collect()) == sorted({(s, t) for s in shorts for t in longs if s in t})
 
 
+@pytest.mark.parametrize("first", [False, True])
+def test_prefix_ranges_that_span_tasks(spark, first):
+    rnd = random.Random(7)
+    texts = [("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 6))), f"owner{k % 300:03d}") for k in range(2000)]
+    texts += [("aaaa", f"copy{k:04d}") for k in range(1500)]  # one text under many owners
+    marks = ["a", "aa", "aaaa", "ab", "abab", "b", "bbbbbb", "c", "é"]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = catalog.prefix_ranges(spark.createDataFrame([(m,) for m in marks], "short string"),
+                                    spark.createDataFrame(texts, "text string, long string"), 6, first).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {(m, o) for m in marks for t, o in texts if t.startswith(m)}
+    if first:
+        want = {(m, min(o for n, o in want if n == m)) for m, _ in want}
+    assert {(r.short, r.long) for r in got} == want
+    if first:
+        assert len(got) == len(want)
+
+
+def test_containing_pairs_without_short_texts(spark):
+    none = spark.createDataFrame([], "short string")
+    longs = spark.createDataFrame([("abc",), ("",), (None,)], "long string")
+    assert catalog.containing_pairs(none, longs).count() == 0
+    assert [tuple(r) for r in catalog.containing_pairs(spark.createDataFrame([("b",), ("",), (None,)], "short string"), longs).collect()] == [("b", "abc")]
+
+
 def vectors(spark, seed=2):
     rng = np.random.default_rng(seed)
     pair = np.where(np.arange(240) < 80, 0, np.arange(240) % 7)       # one pair holds a third
