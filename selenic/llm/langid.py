@@ -42,17 +42,49 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def windows(texts: list[str | None]) -> list[tuple[int, str]]:
-    """(row, text) of at most ``BLOCK`` characters each."""
-    return [(i, t[k:k + BLOCK]) for i, t in enumerate(texts) if t for k in range(0, len(t), BLOCK)]
+def windows(texts: list[str | None]) -> list[tuple[int, str, int]]:
+    """(row, lower-case text of about ``BLOCK`` characters, characters at its end that belong to the next one).
+
+    A text is padded at its own ends only. What a window borrows from the next one are the few characters
+    that n-grams across the cut need, so the windows' n-grams together are those of the whole text.
+    """
+    out: list[tuple[int, str, int]] = []
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        whole, ahead, parts = f" {t.lower()} ", "", []
+        for k in range((len(whole) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            part = whole[k:k + BLOCK]
+            if k and not whole[k - 1].isalpha():  # more of a gap that the window before holds already
+                part = part[next((x for x, ch in enumerate(part) if ch.isalpha()), len(part)):]
+            if part:
+                parts.append((i, part + ahead, len(ahead)))
+                ahead = _head(part + ahead) if k else ""
+        out += reversed(parts)
+    return out
+
+
+def _head(text: str) -> str:
+    """The first characters that count, as many as an n-gram may reach over."""
+    out = text[0]
+    for before, ch in zip(text, text[1:], strict=False):
+        if len(out) == max(ORDERS) - 1:
+            break
+        if ch.isalpha() or before.isalpha():
+            out += ch
+    return out
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text starts, letters per text, feature of each position) per order; feature ``FEATURES`` stands for none."""
-    low = [" " + t.lower() + " " for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.cumsum([len(t) for t in low])
-    starts = ends - [len(t) for t in low]
+    """``window_grams`` of whole texts, one window each."""
+    return window_grams([f" {t.lower()} " for t in texts], [0] * len(texts))
+
+
+def window_grams(texts: list[str], borrowed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window starts, letters per window, feature of each position) per order; feature ``FEATURES`` stands for none."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
     letter = _letter_table()[codes]
     first = np.zeros(len(codes), dtype=bool)
     first[starts] = True
@@ -62,8 +94,9 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     place = np.concatenate([[0], np.cumsum(keep)])
     codes = np.where(letter, codes, np.uint32(32))[keep]
     starts, ends = place[starts], place[ends]
-    n_letters = np.add.reduceat(letter[keep], starts, dtype=np.int64)
-    left = np.repeat(ends, ends - starts) - np.arange(len(codes))  # characters from here to the text's end
+    left = np.repeat(ends, ends - starts) - np.arange(len(codes))  # characters from here to the window's end
+    own = left > np.repeat(borrowed, ends - starts)
+    n_letters = np.add.reduceat(letter[keep] & own, starts, dtype=np.int64)
     h = np.zeros(len(codes), dtype=np.uint32)
     for n in range(1, max(ORDERS) + 1):
         shifted = np.zeros(len(codes), dtype=np.uint32)
@@ -71,16 +104,16 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         h = (h + shifted + np.uint32(n)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if n in ORDERS:
-            yield starts, n_letters, np.where(left >= n, (h * np.uint32(0x85EBCA6B)) >> np.uint32(16), np.uint32(FEATURES))
+            yield starts, n_letters, np.where((left >= n) & own, (h * np.uint32(0x85EBCA6B)) >> np.uint32(16), np.uint32(FEATURES))
 
 
 def count_features(texts: list[str], labels: list[int], languages: int) -> np.ndarray:
     """Feature counts by language."""
     out = np.zeros((languages, FEATURES + 1), dtype=np.int64)
     parts = windows(texts)
-    for a, b in runs((len(t) for _, t in parts), BLOCK):
-        of = np.array([labels[i] for i, _ in parts[a:b]])
-        for starts, _, feature in grams([t for _, t in parts[a:b]]):
+    for a, b in runs((len(t) for _, t, _ in parts), BLOCK):
+        of = np.array([labels[i] for i, _, _ in parts[a:b]])
+        for starts, _, feature in window_grams([t for _, t, _ in parts[a:b]], [n for _, _, n in parts[a:b]]):
             row = np.repeat(of, np.diff(np.append(starts, len(feature))))
             out += np.bincount(row * (FEATURES + 1) + feature, minlength=out.size).reshape(out.shape)
     return out[:, :FEATURES]
@@ -90,9 +123,9 @@ def score_texts(texts: list[str | None], matrix: np.ndarray, prior: np.ndarray)
     """(index of the best language or -1, its posterior) of each text."""
     total, letters = np.tile(prior.astype(float), (len(texts), 1)), np.zeros(len(texts), dtype=np.int64)
     parts = windows(texts)
-    for a, b in runs((len(t) for _, t in parts), BLOCK):
-        rows = np.array([i for i, _ in parts[a:b]])
-        for k, (starts, n, feature) in enumerate(grams([t for _, t in parts[a:b]])):
+    for a, b in runs((len(t) for _, t, _ in parts), BLOCK):
+        rows = np.array([i for i, _, _ in parts[a:b]])
+        for k, (starts, n, feature) in enumerate(window_grams([t for _, t, _ in parts[a:b]], [n for _, _, n in parts[a:b]])):
             np.add.at(total, rows, np.add.reduceat(matrix[feature], starts, axis=0, dtype=float))
             if k == 0:
                 np.add.at(letters, rows, n)

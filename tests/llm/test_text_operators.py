@@ -231,3 +231,17 @@ def test_singular_vectors(spark):
     own = decontam._dense(items, items.passages)
     best = np.sqrt((np.linalg.svd(own)[1][:20] ** 2).sum())
     assert np.allclose(v.T @ v, np.eye(20), atol=1e-3) and np.linalg.norm(own @ v) > 0.9 * best
+
+
+def test_language_windows_hold_the_n_grams_of_the_whole_text(monkeypatch):
+    r = np.random.default_rng(11)
+    parts = ["ab", "É", " ", ". ", "12-3", "z", "Straße", "\n\n", "ж", "  --  ", "İ"]
+    texts = ["".join(r.choice(parts, 300)) for _ in range(6)] + ["", None, "x", "." * 400, "ab" * 200, ". " * 90 + "a" + "! " * 90]
+    matrix = np.vstack([r.normal(size=(langid.FEATURES, 3)), np.zeros((1, 3))])
+    whole = langid.score_texts(texts, matrix, np.zeros(3))
+    counts = langid.count_features([t or "" for t in texts], [i % 3 for i in range(len(texts))], 3)
+    for block in (5, 7, 64):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        cut = langid.score_texts(texts, matrix, np.zeros(3))
+        assert cut[0].tolist() == whole[0].tolist() and cut[1] == pytest.approx(whole[1])
+        assert (langid.count_features([t or "" for t in texts], [i % 3 for i in range(len(texts))], 3) == counts).all()
