@@ -22,6 +22,7 @@ an empty table gives no rows. A null id stands behind all others and is never re
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,6 +175,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     for b in batches:
         ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), _texts(b)
         wanted = [np.frombuffer(x, "<i8").view(np.uint64) for x in b.column("keys").to_pylist()]
+        mark = [zlib.crc32(t) for t in texts]
         text, start, count, key = pieces(texts)
         key = short(key, buckets)
         keep = np.zeros(len(key), dtype=bool)
@@ -182,14 +184,14 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         least: dict[bytes, tuple[int, list[int], int]] = {}
         spans: list[tuple[int, int, int]] = []
         for i, s, n, k in zip(text[keep].tolist(), start[keep].tolist(), count[keep].tolist(), (key[keep] % np.uint64(buckets)).tolist(), strict=True):
-            piece, doc = texts[i][s:s + n + LENGTH - 1], int(ids[i])
+            piece, doc, s = texts[i][s:s + n + LENGTH - 1], int(ids[i]), s << 32 | mark[i]
             held = least.get(piece)
             if held is None or doc < held[0]:
                 if held:
-                    spans += [(held[0], x, x + len(piece)) for x in held[1]]
+                    spans += [(held[0], x, x + (len(piece) << 32)) for x in held[1]]
                 least[piece] = (doc, [s], k)
             elif doc > held[0]:
-                spans.append((doc, s, s + len(piece)))
+                spans.append((doc, s, s + (len(piece) << 32)))
             else:
                 held[1].append(s)
         by_shard: dict[int, list[tuple[bytes, int, int]]] = {}
@@ -225,9 +227,11 @@ def smallest_ids(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, stop) to remove."""
+    """(doc_id, crc32 of the text, start, stop) to remove."""
     def out(spans: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(spans[:, i].astype(np.int64)) for i in range(3)], ["doc_id", "start", "stop"])
+        doc, start, stop = spans.T
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, start & 0xFFFFFFFF, start >> 32, stop >> 32)],
+                                          ["doc_id", "mark", "start", "stop"])
 
     for g in grouped(batches, ["bucket"]):
         texts, docs, unpack = g.column("pieces").to_pylist(), g.column("docs").to_pylist(), zstandard.ZstdDecompressor().decompress
@@ -254,9 +258,9 @@ def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[item][occurrence]
         bad = least[run] < doc[occurrence]
         occurrence, run = occurrence[bad], run[bad]
-        begin = start[occurrence] + first[run]
+        begin = start[occurrence] + (first[run].astype(np.int64) << 32)
         if len(begin):
-            yield out(np.stack([doc[occurrence], begin, begin + count[run] + LENGTH - 1], axis=1))
+            yield out(np.stack([doc[occurrence], begin, begin + ((count[run].astype(np.int64) + LENGTH - 1) << 32)], axis=1))
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -284,8 +288,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    names = known.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.octet_length("text").alias("bytes"))
-    reps = settle(names.groupBy("h1", "h2", "bytes").agg(F.min("doc_id").alias("doc_id")).where(f"bytes >= {LENGTH}").select("doc_id", "bytes"))
+    names = known.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.octet_length("text").alias("bytes"), F.crc32(F.col("text").cast("binary")).alias("mark"))
+    reps = names.groupBy("h1", "h2", "bytes").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
+    reps = settle(reps.where(f"bytes >= {LENGTH}").select("doc_id", "mark", "bytes"))
     total = reps.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(64, 1 << (int(total) // SHARD_BYTES).bit_length())
 
@@ -293,8 +298,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     free(spark)
     spans = settle(_spans(known, wanted, buckets))
     free(spark)
-    verdict = reps.join(spans, "doc_id", "left").select("doc_id", "spans", F.lit(True).alias("rep"))
-    out = docs.join(verdict, "doc_id", "left")
+    verdict = reps.join(spans, ["doc_id", "mark"], "left").select("doc_id", "mark", "spans", F.lit(True).alias("rep"))
+    out = docs.withColumn("mark", F.crc32(F.col("text").cast("binary"))).join(verdict, ["doc_id", "mark"], "left")
     copy = F.col("rep").isNull() & (F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "text", copy.alias("copy"), "spans")
 
@@ -308,8 +313,8 @@ def _shared_by_text(known: DataFrame, reps: DataFrame, buckets: int) -> DataFram
 
 def _spans(known: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     found = known.join(wanted, "doc_id").mapInArrow(lambda x: _piece_rows(x, buckets), "bucket long, pieces binary, docs binary")
-    spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shard_spans, "doc_id long, start long, stop long")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shard_spans, "doc_id long, mark long, start long, stop long")
+    return spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _pack_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
