@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from selenic.functions import geo, predicates
 from selenic.operators.stats import exact_percentiles, with_group
+from selenic.session import materialise
 
 c, lit = F.col, F.lit
 ID = ["raster_id"]
+TILE_KEY = ["raster_id", "tile_r", "tile_c"]
+SUM_TILE = 64  # side of the tiles of summed areas
 
 # fixed values of the grid products
 GRID_N = 192
@@ -50,38 +55,95 @@ def valid_fraction(cells: DataFrame, windows: DataFrame, pred: Column, tile: int
     return inside.groupBy("window_id").agg(F.avg(F.coalesce(pred, lit(False)).cast("int")).alias("valid_fraction"))
 
 
-def summed_area(cells: DataFrame, pred: Column) -> DataFrame:
-    """Counts of all and of valid cells above and left of each cell, inclusive.
+def _tiles_of(windows: DataFrame) -> DataFrame:
+    """Tiles that windows ``(raster_id, r0, c0, r1, c1)`` and the corners before them touch, once each."""
+    def span(a, b):
+        return F.sequence(F.floor(F.greatest(c(a) - 1, lit(0)) / SUM_TILE).cast("int"), F.floor((c(b) - 1) / SUM_TILE).cast("int"))
+    w = windows.where("r1 > greatest(r0, 0) and c1 > greatest(c0, 0)").select("raster_id", "r0", "c0", "r1", "c1").distinct()
+    w = w.select("raster_id", F.explode(span("r0", "r1")).alias("tile_r"), "c0", "c1")
+    return w.select("raster_id", "tile_r", F.explode(span("c0", "c1")).alias("tile_c")).distinct()
+
+
+def _inner_sums(at: pd.Series) -> pd.Series:
+    """Running counts along both axes of a tile from the places of its valid cells."""
+    def sums(x):
+        grid = np.bincount(x, minlength=SUM_TILE * SUM_TILE).reshape(SUM_TILE, SUM_TILE)
+        return grid.cumsum(0).cumsum(1).astype("int32").ravel()
+    return at.map(sums)
+
+
+def summed_area(cells: DataFrame, pred: Column, near: DataFrame) -> DataFrame:
+    """Two levels of running counts of valid cells, for windows within the windows ``near``.
 
-    Two running sums, one along rows and one along columns; a window partition is a
-    single row or column of a raster.
+    ``inner`` counts within a tile, ``left``, ``above`` and ``corner`` the tiles before it, see
+    ``_outer_sums``. Only cells of the tiles that ``near`` touches are shuffled: a difference of
+    sums needs no others. Absent cells are not valid. The result is a table, since it is
+    looked into more than once.
     """
-    x = cells.select("raster_id", "row", "col", F.coalesce(pred, lit(False)).cast("int").alias("_v"))
-    to = (W.unboundedPreceding, 0)
-    x = x.withColumn("_v", F.sum("_v").over(_along_row().rowsBetween(*to)))
-    return x.withColumn("valid", F.sum("_v").over(_along_col().rowsBetween(*to))).select("raster_id", "row", "col", "valid")
+    need = _tiles_of(near)
+    x = cells.withColumns({"tile_r": F.floor(c("row") / SUM_TILE).cast("int"), "tile_c": F.floor(c("col") / SUM_TILE).cast("int")})
+    x = x.where(F.coalesce(pred, lit(False))).join(need, TILE_KEY, "left_semi")
+    spot = (c("row") - c("tile_r") * SUM_TILE) * SUM_TILE + (c("col") - c("tile_c") * SUM_TILE)
+    x = x.groupBy(*TILE_KEY).agg(F.collect_list(spot.cast("int")).alias("_at"))
+    x = x.select(*TILE_KEY, F.pandas_udf(_inner_sums, "array<int>")("_at").alias("inner"))
+    # a frame without gaps, so that every sum over lines of tiles finds all of them
+    frame = need.groupBy("raster_id").agg(F.collect_set("tile_r").alias("_r"), F.collect_set("tile_c").alias("_c"))
+    frame = frame.select("raster_id", F.explode("_r").alias("tile_r"), "_c").select("raster_id", "tile_r", F.explode("_c").alias("tile_c"))
+    tiles = materialise(frame.join(x, TILE_KEY, "left"), "tile-sums")
+    return materialise(tiles.join(_outer_sums(tiles), TILE_KEY), "summed-areas")
+
+
+def _outer_sums(tiles: DataFrame) -> DataFrame:
+    """``left``, ``above`` and ``corner`` for each tile: the second level.
+
+    ``left[k]`` counts rows 0 to k of the tiles to the left, ``above[k]`` columns 0 to k of
+    the tiles above, ``corner`` all tiles above and to the left. Windows hold one line of
+    tiles each, and rows are the tiles' edges only.
+    """
+    to = (W.unboundedPreceding, -1)
+    edge = tiles.withColumn("_k", F.explode(F.sequence(lit(0), lit(SUM_TILE - 1))))
+    at = lambda i: F.coalesce(F.get("inner", i), lit(0)).cast("long")
+    edge = edge.select(*TILE_KEY, "_k", at(c("_k") * SUM_TILE + SUM_TILE - 1).alias("_right"), at(lit(SUM_TILE * (SUM_TILE - 1)) + c("_k")).alias("_bottom"))
+    zero = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(*to)), lit(0))
+    edge = edge.withColumn("_left", zero("_right", W.partitionBy("raster_id", "tile_r", "_k").orderBy("tile_c")))
+    down = W.partitionBy("raster_id", "tile_c", "_k").orderBy("tile_r")
+    edge = edge.withColumns({"_above": zero("_bottom", down), "_corner": zero("_left", down)})
+    line = F.array_sort(F.collect_list(F.struct("_k", "_left", "_above")))
+    sums = edge.groupBy(*TILE_KEY).agg(line.alias("_line"), F.max(F.when(c("_k") == SUM_TILE - 1, c("_corner"))).alias("corner"))
+    return sums.select(*TILE_KEY, c("_line._left").alias("left"), c("_line._above").alias("above"), "corner")
 
 
 def window_valid(sat: DataFrame, windows: DataFrame) -> DataFrame:
-    """Valid share of every window from four lookups in the summed-area table."""
-    marks = F.array(*[F.struct(s.alias("sign"), (rr - 1).alias("row"), (cc - 1).alias("col")) for s, rr, cc in (
-        (lit(1), c("r1"), c("c1")), (lit(-1), c("r0"), c("c1")), (lit(-1), c("r1"), c("c0")), (lit(1), c("r0"), c("c0")))])
-    probe = windows.select("window_id", "raster_id", F.explode(marks).alias("_m")).select("window_id", "raster_id", "_m.*")
-    hits = probe.join(sat, ["raster_id", "row", "col"])
-    count = hits.groupBy("window_id").agg(F.sum(c("sign") * c("valid")).alias("_n"))
+    """Valid share of every window from four lookups; a window without an area has none."""
+    marks = F.array(*[F.struct(lit(s).alias("sign"), (rr - 1).alias("row"), (cc - 1).alias("col")) for s, rr, cc in (
+        (1, c("r1"), c("c1")), (-1, c("r0"), c("c1")), (-1, c("r1"), c("c0")), (1, c("r0"), c("c0")))])
+    probe = windows.where("r1 > r0 and c1 > c0").select("window_id", "raster_id", F.explode(marks).alias("_m"))
+    probe = probe.select("window_id", "raster_id", "_m.*").where("row >= 0 and col >= 0")
+    probe = probe.withColumns({"tile_r": F.floor(c("row") / SUM_TILE).cast("int"), "tile_c": F.floor(c("col") / SUM_TILE).cast("int")})
+    i, j = c("row") - c("tile_r") * SUM_TILE, c("col") - c("tile_c") * SUM_TILE
+    count = F.coalesce(F.get("inner", i * SUM_TILE + j), lit(0)) + F.get("left", i) + F.get("above", j) + c("corner")
+    count = probe.join(sat, TILE_KEY).select("window_id", (c("sign") * count).alias("_n")).groupBy("window_id").agg(F.sum("_n").alias("_n"))
     area = (c("r1") - c("r0")) * (c("c1") - c("c0"))
     return (windows.join(count, "window_id", "left")
             .withColumn("valid_fraction", F.try_divide(F.coalesce("_n", lit(0)), area)).drop("_n"))
 
 
+def search_reach(requests: DataFrame, steps: int = 12, step_m: float = 500.0) -> DataFrame:
+    """Windows around all that ``nearest_valid_window`` may try."""
+    m = F.ceil(lit(step_m * steps) / c("gsd_m")).cast("int") + 1
+    return requests.select("raster_id", *[F.greatest(lit(0), c(e) - m).alias(e) for e in ("r0", "c0")],
+                           (c("r1") + m).alias("r1"), (c("c1") + m).alias("c1"))
+
+
 def nearest_valid_window(sat: DataFrame, requests: DataFrame, steps: int = 12, step_m: float = 500.0) -> DataFrame:
     """The requested window, or the nearest one of its size with 90 % valid cells.
 
     ``requests(request_id, raster_id, r0, c0, r1, c1, gsd_m, lines, samples)``. Offsets
     go in steps of 500 m in both axes and all four directions, nearest first, and are
-    only tried where the requested window is less than half valid.
+    only tried where the requested window is less than half valid. ``sat`` must cover
+    ``search_reach(requests)``.
     """
-    base = window_valid(sat, requests.withColumn("window_id", c("request_id")))
+    base = materialise(window_valid(sat, requests.withColumn("window_id", c("request_id"))), "windows-asked")
     good = base.where("valid_fraction >= 0.5").select(
         "request_id", "r0", "c0", "r1", "c1", lit(0.0).alias("offset_km"), lit("exact").alias("status"))
     poor = base.where("valid_fraction < 0.5").drop("valid_fraction")
@@ -118,7 +180,7 @@ def densest_window(sat: DataFrame, requests: DataFrame, side: int = 6) -> DataFr
             "r0": F.greatest(lit(0), c("cy") - c("half")), "c0": F.greatest(lit(0), c("cx") - c("half")),
             "r1": F.least(c("lines"), c("cy") + c("half")), "c1": F.least(c("samples"), c("cx") + c("half"))})
 
-    base = window_valid(sat, boxed(requests).withColumn("window_id", c("request_id")))
+    base = materialise(window_valid(sat, boxed(requests).withColumn("window_id", c("request_id"))), "windows-asked")
     keep = base.where("valid_fraction >= 0.6").select("request_id", "cx", "cy", "valid_fraction")
     steps = [0.1 + 0.8 * i / (side - 1) for i in range(side)]
     grid = F.array(*[F.struct(

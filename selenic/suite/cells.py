@@ -351,26 +351,26 @@ def _(inp):
     return ops.grid_join(a, b).select(*KEY, r(c("z") - c("z2")).alias("diff"))
 
 
-FULL = "SELECT raster_id AS rid, CAST(count(*) // 64 AS INT) AS lines FROM {fx:cells} GROUP BY raster_id"
-REQ = f"""SELECT rid * 1000 + k AS request_id, rid, lines, CAST(10 + (k // 16) * 3 AS INT) AS r0, CAST(10 + (k % 16) * 3 AS INT) AS c0
-  FROM ({FULL}) f, (SELECT unnest(range(0, 256)) AS k) g WHERE 10 + (k // 16) * 3 + 4 <= lines AND 10 + (k % 16) * 3 + 4 <= 64"""
+FULL = "SELECT raster_id AS rid, CAST(max(row) + 1 AS INT) AS lines FROM {fx:cells} GROUP BY raster_id"
+REQ = f"""SELECT rid * 1000000 + (r0 // 3) * 1000 + c0 // 3 AS request_id, rid, lines, CAST(r0 AS INT) AS r0, CAST(c0 AS INT) AS c0
+  FROM (SELECT rid, lines, unnest(range(0, lines - 3, 3)) AS r0 FROM ({FULL}) f) a, (SELECT unnest(range(0, 61, 3)) AS c0) g"""
 
 
-def _requests(inp, size: int, per: int = 16, first: int = 10):
-    full = inp.fx("cells").groupBy("raster_id").agg(F.floor(F.count("*") / 64).cast("int").alias("lines"))
-    k = full.withColumn("k", F.explode(F.sequence(lit(0), lit(per * per - 1))))
-    k = k.withColumn("r0", (first + F.floor(c("k") / per) * 3).cast("int")).withColumn("c0", (first + c("k") % per * 3).cast("int"))
-    k = k.where((c("r0") + size <= c("lines")) & (c("c0") + size <= 64))
-    return k.select((c("raster_id") * 1000 + c("k")).alias("request_id"), "raster_id", "r0", "c0", (c("r0") + size).alias("r1"),
+def _requests(inp, size: int, step: int = 3):
+    """A window every few rows and columns of the whole raster."""
+    full = inp.fx("cells").groupBy("raster_id").agg((F.max("row") + 1).cast("int").alias("lines")).where(c("lines") >= size)
+    k = full.withColumn("r0", F.explode(F.sequence(lit(0), c("lines") - size, lit(step)))).withColumn("c0", F.explode(F.sequence(lit(0), lit(64 - size), lit(step))))
+    number = c("raster_id") * 1000000 + F.floor(c("r0") / step) * 1000 + F.floor(c("c0") / step)
+    return k.select(number.alias("request_id"), "raster_id", "r0", "c0", (c("r0") + size).alias("r1"),
                     (c("c0") + size).alias("c1"), "lines", lit(64).alias("samples"))
 
 
 @query("srt_04_nearest_valid_window", f"""
 WITH req AS ({REQ}), v AS (SELECT raster_id, row, col, CASE WHEN z % 100 < 70 THEN 1 ELSE 0 END AS v FROM {{fx:heights}}),
-base AS (SELECT request_id, rid, lines, r0, c0, avg(v) AS share FROM req JOIN v ON v.raster_id = rid AND row >= r0 AND row < r0 + 4 AND col >= c0 AND col < c0 + 4 GROUP BY ALL),
+base AS (SELECT request_id, rid, lines, r0, c0, sum(v) / 16.0 AS share FROM req JOIN v ON v.raster_id = rid AND row >= r0 AND row < r0 + 4 AND col >= c0 AND col < c0 + 4 GROUP BY ALL),
 o AS (SELECT CAST(i * a AS INT) AS dr, CAST(j * b AS INT) AS dc, (i * 100 + j) * 4 + k AS ord FROM (SELECT unnest(range(1, 13)) AS i) x, (SELECT unnest(range(1, 13)) AS j) y,
   (VALUES (0, 1, 1), (1, -1, 1), (2, 1, -1), (3, -1, -1)) s(k, a, b)),
-tried AS (SELECT request_id, r0 + dr AS r0, c0 + dc AS c0, dr, dc, ord, avg(v) AS share FROM (SELECT * FROM base WHERE share < 0.5) p, o
+tried AS (SELECT request_id, r0 + dr AS r0, c0 + dc AS c0, dr, dc, ord, sum(v) / 16.0 AS share FROM (SELECT * FROM base WHERE share < 0.5) p, o
   JOIN v ON v.raster_id = rid AND row >= r0 + dr AND row < r0 + dr + 4 AND col >= c0 + dc AND col < c0 + dc + 4
   WHERE r0 + dr >= 0 AND c0 + dc >= 0 AND r0 + dr + 4 <= lines AND c0 + dc + 4 <= 64 GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dr * dr + dc * dc, ord) AS rn FROM tried WHERE share >= 0.9) q WHERE rn = 1)
@@ -378,8 +378,8 @@ SELECT request_id, r0, c0, r0 + 4 AS r1, c0 + 4 AS c1, 0.0::DOUBLE AS offset_km,
 UNION ALL SELECT b.request_id, coalesce(s.r0, -1), coalesce(s.c0, -1), coalesce(s.r0 + 4, -1), coalesce(s.c0 + 4, -1), round(sqrt(power(dr * 500.0, 2) + power(dc * 500.0, 2)) / 1000, 6),
   CASE WHEN s.request_id IS NULL THEN 'no_valid_data' ELSE 'moved' END FROM base b LEFT JOIN best s ON b.request_id = s.request_id WHERE b.share < 0.5""")
 def _(inp):
-    sat = ops.summed_area(inp.fx("heights"), c("z") % 100 < 70)
     req = _requests(inp, 4).withColumn("gsd_m", lit(500.0))
+    sat = ops.summed_area(inp.fx("heights"), c("z") % 100 < 70, ops.search_reach(req))
     out = ops.nearest_valid_window(sat, req).withColumn("offset_km", r("offset_km"))
     return out.fillna(-1, ["r0", "c0", "r1", "c1"])
 
@@ -390,16 +390,17 @@ v AS (SELECT raster_id, row, col, CASE WHEN z % 100 < 55 THEN 1 ELSE 0 END AS v
 base AS (SELECT request_id, rid, lines, cx, cy, sum(v) / ((least(lines, cy + 4) - greatest(0, cy - 4)) * (least(64, cx + 4) - greatest(0, cx - 4)))::DOUBLE AS share
   FROM req JOIN v ON v.raster_id = rid AND row >= cy - 4 AND row < least(lines, cy + 4) AND col >= cx - 4 AND col < cx + 4 GROUP BY request_id, rid, lines, cx, cy),
 o AS (SELECT 0.1::DOUBLE + 0.8::DOUBLE * i / 5 AS fy, 0.1::DOUBLE + 0.8::DOUBLE * j / 5 AS fx, i * 6 + j AS ord FROM (SELECT unnest(range(0, 6)) AS i) x, (SELECT unnest(range(0, 6)) AS j) y),
-tried AS (SELECT request_id, rid, lines, CAST(trunc(64 * fx) AS INT) AS gx, CAST(trunc(lines * fy) AS INT) AS gy, ord FROM base, o WHERE share < 0.6),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY share DESC, ord) AS rn FROM (
-  SELECT request_id, gx, gy, ord, sum(v) / ((least(lines, gy + 4) - greatest(0, gy - 4)) * (least(64, gx + 4) - greatest(0, gx - 4)))::DOUBLE AS share
-  FROM tried JOIN v ON v.raster_id = rid AND row >= gy - 4 AND row < least(lines, gy + 4) AND col >= gx - 4 AND col < gx + 4 GROUP BY request_id, gx, gy, ord, lines) q) q2 WHERE rn = 1)
+tried AS (SELECT DISTINCT rid, lines, CAST(trunc(64 * fx) AS INT) AS gx, CAST(trunc(lines * fy) AS INT) AS gy, ord FROM base, o WHERE share < 0.6),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY share DESC, ord) AS rn FROM (
+  SELECT rid, gx, gy, ord, sum(v) / ((least(lines, gy + 4) - greatest(0, gy - 4)) * (least(64, gx + 4) - greatest(0, gx - 4)))::DOUBLE AS share
+  FROM tried JOIN v ON v.raster_id = rid AND row >= gy - 4 AND row < least(lines, gy + 4) AND col >= gx - 4 AND col < gx + 4 GROUP BY rid, gx, gy, ord, lines) q) q2 WHERE rn = 1)
 SELECT request_id, cx, cy, round(share, 6) AS valid_fraction FROM base WHERE share >= 0.6
-UNION ALL SELECT request_id, gx, gy, round(share, 6) FROM best""")
+UNION ALL SELECT b.request_id, gx, gy, round(s.share, 6) FROM base b JOIN best s ON b.rid = s.rid WHERE b.share < 0.6""")
 def _(inp):
-    sat = ops.summed_area(inp.fx("heights"), c("z") % 100 < 55)
     req = _requests(inp, 4).select("request_id", "raster_id", c("r0").alias("cy"), c("c0").alias("cx"), lit(4).alias("half"), lit(0).alias("x0"),
                                    lit(64).alias("x1"), lit(0).alias("y0"), c("lines").alias("y1"), "lines", "samples")
+    whole = req.select("raster_id", lit(0).alias("r0"), lit(0).alias("c0"), c("lines").alias("r1"), c("samples").alias("c1"))
+    sat = ops.summed_area(inp.fx("heights"), c("z") % 100 < 55, whole)
     return ops.densest_window(sat, req).withColumn("valid_fraction", r("valid_fraction"))
 
 

@@ -6,6 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from selenic.operators import cells as ops
 from selenic.operators import kernels
 
 
@@ -105,3 +108,24 @@ def test_template_over_several_tiles(spark, image):
     found = kernels.template_ncc(table(spark, image[610:690, 17:77]), table(spark, image), tile=48).first()
     assert (found.row, found.col) == (610, 17) and found.ncc == pytest.approx(1.0)
     assert kernels.template_ncc(table(spark, image), table(spark, image[:50])).first().ncc is None
+
+
+def test_windows_over_absent_cells(spark):
+    """Shares from the two levels equal plain counts, with rows, tiles and whole tile lines absent."""
+    rng = np.random.default_rng(5)
+    there = rng.random((300, 200)) < 0.7
+    there[40:50] = False
+    there[64:128, 64:128] = False
+    there[192:256] = False
+    rows, cols = np.nonzero(there)
+    good = rng.random(len(rows)) < 0.6
+    grid = np.zeros(there.shape, int)
+    grid[rows, cols] = good
+    cells = spark.createDataFrame(pd.DataFrame({"raster_id": 1, "row": rows, "col": cols, "ok": good}))
+    r0, c0 = rng.integers(0, 290, 120), rng.integers(0, 190, 120)
+    r1, c1 = r0 + rng.integers(0, 130, 120), c0 + rng.integers(0, 90, 120)  # some without an area, some beyond the raster
+    windows = spark.createDataFrame(pd.DataFrame({"window_id": range(120), "raster_id": 1, "r0": r0, "c0": c0, "r1": r1, "c1": c1}))
+    want = [None if a == b or d == e else grid[a:b, d:e].sum() / ((b - a) * (e - d)) for a, b, d, e in zip(r0, r1, c0, c1, strict=True)]
+    got = {r["window_id"]: r["valid_fraction"] for r in ops.window_valid(ops.summed_area(cells, F.col("ok"), windows), windows).collect()}
+    for i, w in enumerate(want):
+        assert got[i] is None if w is None else got[i] == pytest.approx(w), i
