@@ -26,6 +26,24 @@ def _(inp):
     return pairs.select("scene_id", "kind", "product_id", r("km", 4).alias("km"), r("score").alias("score"), "rank")
 
 
+# every fifth scene and every fourth product without a position
+BARE_SCENES = """SELECT scene_id, CASE WHEN scene_id % 5 <> 0 THEN lat_deg END AS lat_deg, CASE WHEN scene_id % 5 <> 0 THEN lon_deg END AS lon_deg FROM {fx:scenes}"""
+BARE_CENTRES = """SELECT product_id, kind, CASE WHEN CAST(substr(product_id, 14, 6) AS BIGINT) % 4 <> 1 THEN lat_deg END AS lat_deg,
+  CASE WHEN CAST(substr(product_id, 14, 6) AS BIGINT) % 4 <> 1 THEN lon_deg END AS lon_deg FROM {fx:centres}"""
+
+
+@query("joi_01_pairs_without_positions", f"""
+SELECT scene_id, kind, product_id, round(km, 4) AS km, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY scene_id, kind ORDER BY score DESC, km NULLS LAST, product_id) AS rank FROM (
+    SELECT s.scene_id, s.kind, s.product_id, km, coalesce(0.6 * (1.0 / (1.0 + km / 50.0)), 0.0) + 0.4 * greatest(0.0, coalesce(ncc, -1.0)) AS score
+    FROM (SELECT a.scene_id, b.kind, b.product_id, CASE WHEN a.lat_deg IS NOT NULL AND b.lat_deg IS NOT NULL THEN {HAV.format(a='a', b='b')} END AS km
+      FROM ({BARE_SCENES}) a CROSS JOIN ({BARE_CENTRES}) b) s
+    LEFT JOIN {{fx:measured}} m ON s.scene_id = m.scene_id AND s.product_id = m.product_id) q) p WHERE rank <= 5""")
+def _(inp):
+    pairs = spatial.candidate_pairs(inp.sql(BARE_SCENES), inp.sql(BARE_CENTRES), inp.fx("measured"))
+    return pairs.select("scene_id", "kind", "product_id", r("km", 4).alias("km"), r("score").alias("score"), "rank")
+
+
 @query("joi_01_nearest_products", f"""
 SELECT scene_id, kind, product_id, round(km, 4) AS km FROM (
   SELECT *, row_number() OVER (PARTITION BY scene_id, kind ORDER BY km, product_id) AS rn FROM (

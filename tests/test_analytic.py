@@ -229,3 +229,17 @@ def test_band_depth_guards(spark):
 def test_accept_reference(spark):
     pick = [value(spark, predicates.accept_reference(lit(a), lit(b), lit(n)))["status"] for a, b, n in ((True, 10, .1), (True, 9, .1), (False, 0, .35))]
     assert pick == ["selected", "rejected", "selected"]
+
+
+def test_ranking_without_positions(spark):
+    """No distance: correlations rank, then ids; a place is only filled by what has none."""
+    scenes = spark.createDataFrame([(1, 10.0, 20.0), (2, None, None)], "scene_id long, lat_deg double, lon_deg double")
+    products = spark.createDataFrame([("a", "tmc", None, None), ("b", "tmc", None, None), ("c", "tmc", 11.0, 20.0), ("d", "tmc", None, 5.0)],
+                                     "product_id string, kind string, lat_deg double, lon_deg double")
+    measured = spark.createDataFrame([(1, "d", 0.9), (2, "c", 0.5), (2, "d", -0.2)], "scene_id long, product_id string, ncc double")
+    got = spatial.candidate_pairs(scenes, products, measured, k=3).orderBy("scene_id", "rank").collect()
+    assert [(r["scene_id"], r["product_id"]) for r in got] == [
+        (1, "c"), (1, "d"), (1, "a"), (2, "c"), (2, "a"), (2, "b")]
+    assert all(r["score"] == pytest.approx(0.6 * (0 if r["km"] is None else 1 / (1 + r["km"] / 50)) + 0.4 * max(0, {
+        (1, "d"): 0.9, (2, "c"): 0.5}.get((r["scene_id"], r["product_id"]), 0))) for r in got)
+    assert all(x["score"] >= y["score"] for x, y in zip(got, got[1:]) if x["scene_id"] == y["scene_id"])
