@@ -2,7 +2,7 @@
 
 The four base kinds (email, ip, card, phone) are matched leftmost and without overlap per
 kind; a match that fails its check is dropped. Further candidates are runs of identifier
-characters with a digit that overlap no base span. Six labelers vote on each of them (1
+characters with a digit, of any length, that overlap no base span. Six labelers vote on each of them (1
 personal, -1 not, 0 abstain): key shapes and plain shapes by regex, known key prefixes by
 gazetteer, naming words before the candidate by context, character mix, and length.
 
@@ -44,7 +44,6 @@ KEY_SHAPE = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]{16,}|[A-Z]{4}[0-9A-Z]{16}|[A-Za
 PLAIN_SHAPE = re.compile(r"[0-9]+|[0-9]+[/-][0-9/-]+|[A-Za-z]+[0-9]{1,4}|[0-9]+[a-z]{1,3}")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza")
 NAMING = re.compile(r"(?:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key|credential|ssn)\W{1,4}$", re.IGNORECASE)
-MIN_LENGTH = 8
 CONTEXT = 24
 LABELERS = 6
 FEATURES = 8
@@ -121,8 +120,6 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, li
     base, found, k = base_spans(text), [], 0
     far = 0  # the furthest end of the base spans that begin before the candidate's end
     for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() < MIN_LENGTH:
-            continue
         while k < len(base) and base[k][1] < m.end():
             far = max(far, base[k][2])
             k += 1
