@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from selenic.operators import catalog, logs, matching
+from selenic.plans import jobs
 from selenic.sources import labels, rasters, tables
 
 c, lit = F.col, F.lit
@@ -196,8 +197,6 @@ def test_first_and_last_win(spark):
 
 
 def test_height_grids(spark):
-    from selenic.plans import jobs
-
     r, q = np.meshgrid(np.arange(64), np.arange(64), indexing="ij")
     z = (r * 5 + q * 7).astype(float)
     hole = z.copy()
@@ -217,8 +216,6 @@ def test_height_grids(spark):
 
 
 def test_terrain_product(spark):
-    from selenic.plans import jobs
-
     y, x = np.mgrid[0:64, 0:64]
     hill = 100 * np.exp(-((x - 32) ** 2 + (y - 32) ** 2) / 300.0)
     pdf = pd.DataFrame({"raster_id": 1, "row": y.ravel(), "col": x.ravel(), "z": hill.ravel()})
@@ -231,8 +228,6 @@ def test_terrain_product(spark):
 
 
 def test_match_report(spark):
-    from selenic.plans import jobs
-
     _, v, w, src, ref = vectors(spark)
     src, ref = [d.withColumn("response", c("id") * 1.0) for d in (src, ref.withColumn("id", c("id") + 1000))]
     xy = np.random.default_rng(9).uniform(0, 1000, (240, 2))
@@ -241,3 +236,14 @@ def test_match_report(spark):
     rows = {x.pair_id: x for x in report.collect()}
     assert len(rows) == 7 and all(x.inlier_ratio > .8 and x.rmse_px < .1 for x in rows.values() if x.status == "ok")
     assert verified.select("method").distinct().count() == 2 and rows[0].report.startswith("Scene 0:")
+
+
+def test_registered_references(spark):
+    """The best alignment wins, not the best rank; the gate, unregistered candidates and scenes without any."""
+    scenes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "scene_id long")
+    ranked = spark.createDataFrame([(1, "nac", "a"), (1, "nac", "b"), (2, "nac", "a"), (3, "nac", "a")], "scene_id long, kind string, product_id string")
+    registered = spark.createDataFrame([(1, "a", 0.4, False, 0), (1, "b", 0.6, False, 0), (1, "z", 0.9, True, 99), (2, "a", 0.1, True, 3), (3, "a", None, None, None)],
+                                       "scene_id long, product_id string, ncc double, refined boolean, inliers long")
+    got = jobs.registered_references(ranked, registered, scenes).orderBy("scene_id").collect()
+    assert [(r["product_id"], r["candidates"], r["status"]) for r in got] == [
+        ("b", 2, "selected"), ("a", 1, "rejected"), (None, 1, "unavailable"), (None, 0, "empty")]
